@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, language, neighbours, repeats, secrets, simhash, urls
+from . import bpe, chat, decontaminate, html_text, language, neighbours, repeats, secrets, simhash, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(_table(spark, sf_dir, "documents"))
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(_table(spark, sf_dir, "embeddings"))
 
@@ -63,7 +67,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat, op2_decontaminate, op3_language, op4_secrets, op6_neighbours, op7_simhash, op8_urls, op9_repeats, op10_bpe)}
+    return {f.__name__: f for f in (op1_chat, op2_decontaminate, op3_language, op4_secrets, op5_html, op6_neighbours, op7_simhash, op8_urls, op9_repeats, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
