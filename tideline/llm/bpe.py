@@ -94,8 +94,8 @@ def _codec(ranks: bytes, pattern: str) -> Codec:
     return Codec({base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}, pattern)
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, ids: bool = True, digest: bool = False) -> DataFrame:
-    """The rows of ``docs`` with ``ids`` (array<int>), or with ``n_tokens`` and digests of ids and decoded bytes.
+def encode(docs: DataFrame, vocabulary: str, pattern: str, ids: bool = True, count: bool = False, digest: bool = False) -> DataFrame:
+    """The rows of ``docs`` without text, with ``ids`` (array<int>), ``n_tokens``, or digests of ids and decoded bytes.
 
     ``vocabulary`` is a rank file on the driver; its bytes go to the workers, a bound set by the file. Each
     match of ``pattern`` is encoded by itself; what no match covers is left out. A null text is empty and has no
@@ -103,10 +103,12 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, ids: bool = True, dig
     """
     with open(vocabulary, "rb") as f:
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
-    keep = [c for c in docs.columns if c != "text"]
+    keep = [c for c in docs.columns if c not in ("text", "ids", "n_tokens", "ids_sha256", "decoded_sha256")]
     made = {"ids": "ids array<int>"} if ids else {}
+    if count or digest:
+        made["n_tokens"] = "n_tokens long"
     if digest:
-        made |= {c: f"{c} {t}" for c, t in (("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string"))}
+        made |= {c: f"{c} string" for c in ("ids_sha256", "decoded_sha256")}
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
