@@ -1,13 +1,23 @@
 """Registry of the analytics queries and of the SQL they are checked against."""
 
+from __future__ import annotations
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def queries():
-    return {}
+from . import kernel
 
+MODULES = (kernel,)
 
-def oracle_sql():
-    return {}
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernel.flagship(spark, sf_dir)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
