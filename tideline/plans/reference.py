@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kernel
+from . import kernel, series
 
-MODULES = (kernel,)
+MODULES = (kernel, series)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
