@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -40,6 +41,19 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for these tables, which nothing may read any more, and the shuffle
+    files of jobs that are over: Spark drops those when the driver has collected its garbage.
+    """
+    for table in tables:
+        for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            if "/tideline-" in path:
+                _remove(table.sparkSession, path)
+        spark = table.sparkSession
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of, text_tag
+from .common import materialize, release, text_of, text_tag
 
 #: Bytes of a repeated string, and of the rolling hash whose minima trigger phrases.
 LENGTH, GRAM = 200, 32
+#: Windows of a phrase that are compared together before they are compared one by one.
+BLOCK = 16
 _CHUNK = 1 << 19
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -64,8 +67,8 @@ def _sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def _phrases(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Rolling]:
-    """Starts, counts, triggers and hashes of the phrases of ``data`` (at least LENGTH bytes).
+def _phrases(data: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Starts, counts, leads (bytes before the trigger), triggers and hashes of the phrases of ``data`` (at least LENGTH bytes).
 
     A phrase is the run of LENGTH-byte windows whose smallest GRAM-byte hash is the same occurrence. The
     trigger is chosen by each window's own bytes, so equal windows lie at equal places of phrases with equal
@@ -84,7 +87,7 @@ def _phrases(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
         gram = grams[trigger[starts]]
         whole = rolling.at(starts, starts + counts + LENGTH - 1)
         whole = _mix(whole ^ _mix(counts.astype(_U) + gram))
-    return starts, counts, gram, whole, rolling
+    return starts, counts, trigger[starts] - starts, gram, whole
 
 
 def _chunks(text: bytes) -> Iterator[tuple[int, np.ndarray]]:
@@ -98,73 +101,90 @@ def _rows(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [x.as_buffer().to_pybytes() for x in batch.column(name).cast(pa.large_binary())]
 
 
-def _signed(parts: list[np.ndarray]) -> pa.Array:
-    return pa.array((np.concatenate(parts) if parts else np.empty(0, _U)).view(np.int64))
+class _Rows:
+    """Collects rows as arrays for each text and gives them out as record batches of bounded size."""
 
+    def __init__(self, batch: pa.RecordBatch, names: list[str], limit: int = 100_000):
+        self.batch, self.names, self.limit = batch, names, limit
+        self.clear()
 
-def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "tag", "start", "windows", "gram", "phrase"]
-    for batch in batches:
-        row, starts, counts, grams, wholes, held = [], [], [], [], [], 0
+    def clear(self) -> None:
+        self.at: list[int] = []
+        self.sizes: list[int] = []
+        self.columns: list[list[np.ndarray]] = [[] for _ in self.names]
+        self.held = 0
+
+    def add(self, row: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.at.append(row)
+        self.sizes.append(len(columns[0]))
+        for store, x in zip(self.columns, columns):
+            store.append(x)
+        self.held += len(columns[0])
+        if self.held >= self.limit:
+            yield from self.rest()
 
-        def flush(batch=batch):
-            rows = pa.array(np.repeat(np.array([r for r, _ in row], np.int64), np.array([n for _, n in row], np.int64)))
-            return pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(rows), batch.column("tag").take(rows), pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(counts).astype(np.int32)), _signed(grams), _signed(wholes)],
-                names,
-            )
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            rows = pa.array(np.repeat(np.array(self.at, np.int64), np.array(self.sizes, np.int64)))
+            made = [pa.array(x.view(np.int64) if x.dtype == _U else x) for x in map(np.concatenate, self.columns)]
+            yield pa.RecordBatch.from_arrays([*(self.batch.column(c).take(rows) for c in ("doc_id", "tag")), *made], ["doc_id", "tag", *self.names])
+            self.clear()
 
+
+def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = _Rows(batch, ["start", "windows", "lead", "gram", "phrase"])
         for i, text in enumerate(_rows(batch)):
             for offset, data in _chunks(text):
-                s, c, g, w, _ = _phrases(data)
-                row.append((i, len(s)))
-                for store, x in ((starts, s + offset), (counts, c), (grams, g), (wholes, w)):
-                    store.append(x)
-                held += len(s)
-                if held >= 100_000:
-                    yield flush()
-                    row, starts, counts, grams, wholes, held = [], [], [], [], [], 0
-        if held:
-            yield flush()
+                starts, counts, leads, grams, phrases = _phrases(data)
+                yield from out.add(i, (starts + offset).astype(np.int32), counts.astype(np.int32), leads.astype(np.int32), grams, phrases)
+        yield from out.rest()
 
 
 def parse(docs: DataFrame) -> DataFrame:
-    """(doc_id, tag, start, windows, gram, phrase): the phrases of each text, by row content (doc_id, tag)."""
+    """(doc_id, tag, start, windows, lead, gram, phrase): the phrases of each text, by row content (doc_id, tag)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", text_tag().alias("tag"), text_of().alias("text")).where(F.octet_length("text") >= LENGTH)
-    return rows.mapInArrow(_parse_batches, f"doc_id {kind}, tag long, start int, windows int, gram long, phrase long")
+    return rows.mapInArrow(_parse_batches, f"doc_id {kind}, tag long, start int, windows int, lead int, gram long, phrase long")
 
 
-def _part_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The hash of each window of the given phrases (parts) of each text."""
+def _blocks(lead: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The blocks of a phrase by distance of its windows from the trigger, and the first and last window of each."""
+    k = np.arange((lead - n + 1) // BLOCK, lead // BLOCK + 1)
+    return k, lead - np.minimum(lead, BLOCK * k + BLOCK - 1), lead - np.maximum(lead - n + 1, BLOCK * k)
+
+
+def _block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each block of each given phrase the hash of what its windows have in common, and of all their bytes."""
     for batch in batches:
-        parts = batch.column("parts").to_pylist()
-        row, starts, alone, grams, hashes, held = [], [], [], [], [], 0
+        parts, out = batch.column("parts").to_pylist(), _Rows(batch, ["start", "windows", "gram", "phrase", "alone", "block", "core", "whole"])
+        for i, text in enumerate(_rows(batch)):
+            data = np.frombuffer(text, np.uint8)
+            for x in parts[i]:
+                start, n, lead = x["start"], x["windows"], x["lead"]
+                rolling = Rolling(data[start : start + n + LENGTH - 1])
+                k, first, last = _blocks(lead, n)
+                with np.errstate(over="ignore"):
+                    core = _mix(rolling.at(lead - BLOCK * k, lead - BLOCK * k - BLOCK + 1 + LENGTH))
+                    whole = _mix(_mix(rolling.at(first, last + LENGTH)) + (first - lead + LENGTH).astype(_U) * _U(512) + (last - first).astype(_U))
+                full = lambda v, kind: np.full(len(k), v, kind)
+                yield from out.add(i, (start + first).astype(np.int32), (last - first + 1).astype(np.int32), full(x["gram"], np.int64), full(x["phrase"], np.int64), full(x["alone"], bool), k.astype(np.int32), core, whole)
+        yield from out.rest()
 
-        def flush(batch=batch):
-            rows = pa.array(np.repeat(np.array([r for r, _ in row], np.int64), np.array([n for _, n in row], np.int64)))
-            return pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(rows), batch.column("tag").take(rows), pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(alone)), pa.array(np.concatenate(grams)), _signed(hashes)],
-                ["doc_id", "tag", "start", "alone", "gram", "window"],
-            )
 
+def _window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hash of each window of each given block."""
+    for batch in batches:
+        parts, out = batch.column("parts").to_pylist(), _Rows(batch, ["start", "gram", "phrase", "alone", "window"])
         for i, text in enumerate(_rows(batch)):
             data = np.frombuffer(text, np.uint8)
-            for part in parts[i]:
-                first, n = part["start"], part["windows"]
+            for x in parts[i]:
+                start, n = x["start"], x["windows"]
+                at = np.arange(n)
                 with np.errstate(over="ignore"):
-                    at = np.arange(n)
-                    hashes.append(_mix(Rolling(data[first : first + n + LENGTH - 1]).at(at, at + LENGTH)))
-                row.append((i, n))
-                starts.append(first + at)
-                alone.append(np.full(n, part["alone"]))
-                grams.append(np.full(n, part["gram"], np.int64))
-                held += n
-                if held >= 200_000:
-                    yield flush()
-                    row, starts, alone, grams, hashes, held = [], [], [], [], [], 0
-        if held:
-            yield flush()
+                    window = _mix(Rolling(data[start : start + n + LENGTH - 1]).at(at, at + LENGTH))
+                yield from out.add(i, (start + at).astype(np.int32), np.full(n, x["gram"], np.int64), np.full(n, x["phrase"], np.int64), np.full(n, x["alone"]), window)
+        yield from out.rest()
 
 
 def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,40 +220,67 @@ def merged(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
     return out
 
 
+def _with_text(docs: DataFrame, parts: DataFrame, part, run, schema: str) -> DataFrame:
+    """``run`` over the texts of ``docs`` and, as ``parts``, the rows of ``parts`` for each."""
+    grouped = parts.groupBy(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag")).agg(F.collect_list(part).alias("parts"))
+    texts = docs.select("doc_id", text_tag().alias("tag"), text_of().alias("text"))
+    texts = texts.join(grouped, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("tag") == F.col("__tag")))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return texts.select("doc_id", "tag", "text", "parts").mapInArrow(run, f"doc_id {kind}, tag long, {schema}")
+
+
+def _shared(rows: DataFrame, *keys: str) -> DataFrame:
+    """The keys that rows of several phrases have."""
+    met = rows.groupBy(*keys).agg(F.min("phrase").alias("low"), F.max("phrase").alias("high"))
+    return met.where("low <> high").select(*keys)
+
+
 def repeated_intervals(docs: DataFrame) -> DataFrame:
     """(doc_id, tag, starts, ends): byte intervals covered by LENGTH-byte strings that start elsewhere too.
 
     1. Parse: phrases go to the shared folder as hashes, without text.
     2. A trigger with one phrase that occurs again: all windows of its occurrences are repeated.
-    3. A trigger with several phrases: those that occur again are repeated throughout. A phrase that occurs
-       once may share some windows with the trigger's other phrases; the windows of each of these phrases are
-       hashed, once for each phrase, and counted.
+    3. A trigger with several phrases, the dictionary: those that occur again are repeated throughout. One that
+       occurs once may share windows with the trigger's other phrases. Its windows are taken in blocks by
+       distance from the trigger. If no other phrase has the bytes common to a block's windows, none of them is
+       repeated; if another has all of the block's bytes, all are; else they are compared one by one.
+
+    Equality is that of 64-bit hashes together with the trigger's 64-bit hash.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
     phrases = materialize(parse(docs))
     triggers = phrases.groupBy("gram").agg(F.count("*").alias("n"), F.min("phrase").alias("low"), F.max("phrase").alias("high"))
-    triggers = triggers.where("n > 1").select("gram", (F.col("low") != F.col("high")).alias("mixed"))
+    triggers = materialize(triggers.where("n > 1").select("gram", (F.col("low") != F.col("high")).alias("mixed")))
     again = materialize(phrases.join(triggers, "gram"))
+    release(phrases, triggers)
     end = (F.col("start") + F.col("windows") + LENGTH - 1).alias("end")
-    whole = again.where("not mixed").select("doc_id", "tag", "start", end)
+    found = [again.where("not mixed").select("doc_id", "tag", "start", end)]
 
     mixed = again.where("mixed")
-    dictionary = materialize(
-        mixed.groupBy("gram", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tag", "start", "windows")).alias("first"))
-        .select("gram", "phrase", "n", "first.*")
-    )
-    twice = mixed.join(dictionary.where("n > 1").select("gram", "phrase"), ["gram", "phrase"], "left_semi").select("doc_id", "tag", "start", end)
-    part = F.struct("gram", "start", "windows", (F.col("n") == 1).alias("alone"))
-    parts = dictionary.groupBy(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag")).agg(F.collect_list(part).alias("parts"))
-    texts = docs.select("doc_id", text_tag().alias("tag"), text_of().alias("text"))
-    texts = texts.join(parts, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("tag") == F.col("__tag")))
-    texts = texts.dropDuplicates(["doc_id", "tag"]).select("doc_id", "tag", "text", "parts")
-    windows = materialize(texts.mapInArrow(_part_batches, f"doc_id {kind}, tag long, start int, alone boolean, gram long, window long"))
-    met = windows.groupBy("gram", "window").agg(F.count("*").alias("n")).where("n > 1").select("gram", "window")
-    single = windows.where("alone").join(met, ["gram", "window"], "left_semi").select("doc_id", "tag", "start", (F.col("start") + LENGTH).alias("end"))
-
-    found = whole.union(twice).union(single).groupBy("doc_id", "tag")
-    return found.agg(F.collect_list(F.struct("start", "end")).alias("at")).select("doc_id", "tag", F.col("at.start").alias("starts"), F.col("at.end").alias("ends"))
+    place = F.struct("doc_id", "tag", "start", "windows", "lead")
+    dictionary = materialize(mixed.groupBy("gram", "phrase").agg(F.count("*").alias("n"), F.min(place).alias("first")).select("gram", "phrase", "n", "first.*"))
+    twice = mixed.join(dictionary.where("n > 1").select("gram", "phrase"), ["gram", "phrase"], "left_semi")
+    found.append(twice.select("doc_id", "tag", "start", end))
+
+    part = F.struct("gram", "phrase", "start", "windows", "lead", (F.col("n") == 1).alias("alone"))
+    blocks = materialize(_with_text(docs, dictionary, part, _block_batches, "start int, windows int, gram long, phrase long, alone boolean, block int, core long, whole long"))
+    release(dictionary.limit(0))
+    core = ["gram", "block", "core"]
+    live = materialize(blocks.join(_shared(blocks, *core), core, "left_semi"))
+    release(blocks)
+    wholes = materialize(_shared(live, "gram", "whole"))
+    alone = live.where("alone")
+    found.append(alone.join(wholes, ["gram", "whole"], "left_semi").select("doc_id", "tag", "start", end))
+    open_ = alone.join(wholes, ["gram", "whole"], "left_anti").select(*core).distinct()
+    part = F.struct("gram", "phrase", "start", "windows", "alone")
+    windows = materialize(_with_text(docs, live.join(open_, core, "left_semi"), part, _window_batches, "start int, gram long, phrase long, alone boolean, window long"))
+    release(windows.limit(0))
+    single = windows.where("alone").join(_shared(windows, "gram", "window"), ["gram", "window"], "left_semi")
+    found.append(single.select("doc_id", "tag", "start", (F.col("start") + LENGTH).alias("end")))
+
+    spans = reduce(DataFrame.union, found).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("at"))
+    spans = materialize(spans.select("doc_id", "tag", F.col("at.start").alias("starts"), F.col("at.end").alias("ends")))
+    release(again, dictionary, live, wholes, windows)
+    return spans
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
