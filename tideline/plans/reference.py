@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kernel, series
+from . import kernel, relational, series, text
 
-MODULES = (kernel, series)
+MODULES = (kernel, series, text, relational)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,10 +60,10 @@ def series_conditional_counts(events: DataFrame, *_) -> DataFrame:
 
 
 @query(f"""with a as (select {_ceil(21600)} as b, count(*) as volume from events group by 1), e as (select {_ceil(21600)} as b, count(*) as errors from events where event_type = 'error' and value > 60 group by 1)
-select {_time('a.b')} as bucket, volume, errors from a left join e using (b)""")
+select {_time('a.b')} as bucket, volume, cast(errors as double) as errors from a left join e using (b)""")
 def series_volume_left_join(events: DataFrame, *_) -> DataFrame:
     volume = S.bucketed(events, "ts", 21600, F.count("*").alias("volume"))
-    errors = S.bucketed(events.where("event_type = 'error' and value > 60"), "ts", 21600, F.count("*").alias("errors"))
+    errors = S.bucketed(events.where("event_type = 'error' and value > 60"), "ts", 21600, F.count("*").cast("double").alias("errors"))
     return volume.join(errors, "bucket", "left").withColumn("bucket", text_time("bucket"))
 
 
