@@ -34,3 +34,18 @@ def clocked(stream: DataFrame, seq: str = "seq", t: str = "t") -> DataFrame:
     steps = rows.select("ct").distinct()
     ranked = steps.withColumn("k", F.row_number().over(Window.orderBy("ct")).cast("long"))
     return rows.join(ranked, "ct").select(*stream.columns, "ct", "k")
+
+
+def dense_numbers(df: DataFrame, order: list[str], name: str = "seq") -> DataFrame:
+    """``df`` with dense numbers from 0 in the order given, which must be total.
+
+    Groups of equal first order column are counted and only these counts are scanned in order; a row's place
+    within its group comes from a window over the group.
+    """
+    head = order[0]
+    counts = df.groupBy(head).agg(F.count("*").alias("__n"))
+    before = Window.orderBy(head).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col(head).alias("__head"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    rows = df.withColumn("__place", F.row_number().over(Window.partitionBy(head).orderBy(*order)) - 1)
+    rows = rows.join(starts, rows[head].eqNullSafe(starts["__head"]))
+    return rows.withColumn(name, (F.col("__start") + F.col("__place")).cast("long")).drop("__head", "__start", "__place")

@@ -65,7 +65,9 @@ def linear_anomaly(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
 
 def sliding_slices(df: DataFrame, seq: str, width: int, step: int, slices: int) -> DataFrame:
     """``df`` once for each overlapping slice [i * step, i * step + width) that holds its number (from 0)."""
-    ids = F.filter(F.sequence(F.lit(0), F.lit(slices - 1)), lambda i: (F.col(seq) >= i * step) & (F.col(seq) < i * step + width))
+    first = F.greatest(F.floor((F.col(seq) - width) / F.lit(step)) + 1, F.lit(0))
+    last = F.least(F.floor(F.col(seq) / F.lit(step)), F.lit(slices - 1))
+    ids = F.when(first <= last, F.sequence(first, F.greatest(first, last)))
     return df.withColumn("slice", F.explode(ids))
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kernel, relational, series, text
+from . import kernel, relational, series, sources, text, vectors
 
-MODULES = (kernel, series, text, relational)
+MODULES = (kernel, series, text, relational, vectors, sources)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,9 +99,9 @@ def value_counts(events: DataFrame, *_) -> DataFrame:
     return events.groupBy("event_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "event_type")
 
 
-@query("""with f as (select event_id // 10 as s, user_id, event_id from events where event_id < 1000) select s.slice, count(*) as n from (select unnest(range(0, 10)) as slice) s join events e on e.event_id >= s.slice * 150 and e.event_id < s.slice * 150 + 400 group by 1""")
+@query("""select s.slice, count(*) as n from (select unnest(range(0, cast(ceil(count(*) / 150) as bigint))) as slice from events) s join events e on e.event_id >= s.slice * 150 and e.event_id < s.slice * 150 + 400 group by 1""")
 def sliding_slices(events: DataFrame, *_) -> DataFrame:
-    return S.sliding_slices(events, "event_id", 400, 150, 10).groupBy(F.col("slice").cast("long").alias("slice")).agg(F.count("*").alias("n"))
+    return S.sliding_slices(events, "event_id", 400, 150, -(-events.count() // 150)).groupBy(F.col("slice").cast("long").alias("slice")).agg(F.count("*").alias("n"))
 
 
 @query("""with t as (select event_type, count(*) as n from events group by 1 order by 2 desc, 1 limit 3), r as (select event_type, row_number() over (order by n desc, event_type) as i from t)
@@ -173,13 +173,13 @@ def dedup_keep_first(events: DataFrame, *_) -> DataFrame:
     return E.keep_first(events, "user_id", "event_id").select("event_id", "user_id")
 
 
-@query("""with d as (select doc_id, string_split(text, ' ')[1:5] as words, [source] as sources from documents)
+@query("""with d as (select doc_id, string_split(text, ' ') as words, [source] as sources from documents)
 select doc_id, aspect, position, word, source from (
 select doc_id, 0 as aspect, unnest(range(0, len(words))) as position, unnest(words) as word, null as source from d
 union all select doc_id, 1, 0, null, source from documents)""")
 def explode_union(events: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = E.explode_union(docs, ["doc_id"], {"word": F.slice(F.split("text", " "), 1, 5), "source": F.array("source")})
+    rows = E.explode_union(docs, ["doc_id"], {"word": F.split("text", " "), "source": F.array("source")})
     return rows.withColumn("position", F.col("position").cast("long"))
 
 
