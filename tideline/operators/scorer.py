@@ -97,22 +97,22 @@ def _cell(feature: str, side: int, row: int, bucket: Column) -> Column:
 
 
 def histories(counted: DataFrame, alpha: float, state: DataFrame | None = None) -> DataFrame:
-    """(cell, k, prior, before): what a cell held when step k began, decayed and undecayed.
+    """(cell, k, new, prior, before, decayed, total): what a cell held when its part of step k began and ended.
 
     ``counted`` has the (cell, k, n) of the steps in which a cell was met; ``state`` the (cell, k, decayed, total)
     that earlier batches left. A cell's steps are folded in order, decaying by the steps between.
     """
-    entries = counted.select(*CELL, "k", F.col("n").cast("double").alias("d"), F.col("n").alias("n"))
-    if state is not None:
-        entries = entries.unionByName(state.select(*CELL, "k", F.col("decayed").alias("d"), F.col("total").alias("n")))
-    grouped = entries.groupBy(*CELL).agg(F.array_sort(F.collect_list(F.struct("k", "d", "n"))).alias("steps"))
+    entries = counted.select(*CELL, "k", F.lit(1).alias("new"), F.col("n").cast("double").alias("d"), F.col("n").alias("n"))
+    if state is not None:  # may end in the step that goes on
+        entries = entries.unionByName(state.select(*CELL, "k", F.lit(0).alias("new"), F.col("decayed").alias("d"), F.col("total").alias("n")))
+    grouped = entries.groupBy(*CELL).agg(F.array_sort(F.collect_list(F.struct("k", "new", "d", "n"))).alias("steps"))
     decay = lambda s, x: s["d"] * F.pow(F.lit(alpha), (x["k"] - s["k"]).cast("double"))
     moved = scan(
         F.col("steps"),
         F.struct(F.lit(0).cast("long").alias("k"), F.lit(0.0).alias("d"), F.lit(0).cast("long").alias("n")),
         lambda s, x: F.struct(x["k"].alias("k"), (decay(s, x) + x["d"]).alias("d"), (s["n"] + x["n"]).alias("n")),
-        lambda s, x: F.struct(x["k"].alias("k"), decay(s, x).alias("prior"), s["n"].alias("before"), (decay(s, x) + x["d"]).alias("decayed"), (s["n"] + x["n"]).alias("total")),
-        "array<struct<k:bigint,prior:double,before:bigint,decayed:double,total:bigint>>",
+        lambda s, x: F.struct(x["k"].alias("k"), x["new"].alias("new"), decay(s, x).alias("prior"), s["n"].alias("before"), (decay(s, x) + x["d"]).alias("decayed"), (s["n"] + x["n"]).alias("total")),
+        "array<struct<k:bigint,new:int,prior:double,before:bigint,decayed:double,total:bigint>>",
     )
     rows = grouped.select(*CELL, moved.alias("moved"))
     return rows.select(*CELL, F.explode("moved").alias("m")).select(*CELL, "m.*")
@@ -126,7 +126,7 @@ def estimates(cells_: DataFrame, params: ScorerParams, state: DataFrame | None =
     counted = cells_.groupBy(*CELL, "k").agg(F.count("*").alias("n"))
     told = histories(counted, params.alpha, state)
     place = Window.partitionBy(*CELL, "k").orderBy("seq")
-    rows = cells_.withColumn("place", F.row_number().over(place)).join(told, [*CELL, "k"])
+    rows = cells_.withColumn("place", F.row_number().over(place)).join(told.where("new = 1"), [*CELL, "k"])
     current, total = F.col("prior") + F.col("place"), F.col("before") + F.col("place")
     decayed_side = total_side = F.col("side") == 0
     if params.total_hashes is not None:  # numbers and records have one side only

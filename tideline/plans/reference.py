@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kernel, relational, series, sources, text, vectors
+from . import kernel, relational, series, sources, streaming, text, vectors
 
-MODULES = (kernel, series, text, relational, vectors, sources)
+MODULES = (kernel, series, text, relational, vectors, sources, streaming)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
