@@ -64,9 +64,9 @@ def _buckets(tokens: np.ndarray) -> list[np.ndarray]:
 def _runs(text: str) -> Iterator[tuple[int, np.ndarray]]:
     """(overlap, tokens): runs of the tokens of ``text``, each beginning with the last few of the run before."""
     rest, overlap = np.zeros(1, np.uint32), 0
-    for k in range(0, len(text), RUN):
+    for k in range(0, max(len(text), 1), RUN):
         tokens = _tokens(np.frombuffer(text[k : k + RUN].encode("utf-32-le", "surrogatepass"), np.uint32))
-        if rest[-1] == 0 and tokens[0] == 0:
+        if len(tokens) and rest[-1] == 0 and tokens[0] == 0:
             tokens = tokens[1:]
         tokens = np.r_[rest, tokens]
         yield overlap, tokens
