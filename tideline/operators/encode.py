@@ -7,11 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prefix import dense_numbers
+
 
 def first_seen_codes(df: DataFrame, value: str, seq: str, start: int = 1) -> DataFrame:
     """(value, code): values numbered in the order in which they first occur; code 0 stays free for what is missing."""
     firsts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.min(seq).alias("first"))
-    return firsts.select(value, (F.row_number().over(Window.orderBy("first", value)) - 1 + start).cast("long").alias("code"))
+    return dense_numbers(firsts, ["first", value], "code").select(value, (F.col("code") + start).alias("code"))
 
 
 def ignore_flags(df: DataFrame, key: str, seq: str) -> DataFrame:
@@ -48,7 +50,7 @@ def suppress_repeated_text(df: DataFrame, id_: str, original: str, text: str, se
 def vocabulary(tokens: DataFrame, token: str, seq: str) -> DataFrame:
     """(token, occurrences, idx): tokens numbered from 0 by first occurrence."""
     counts = tokens.groupBy(token).agg(F.count("*").alias("occurrences"), F.min(seq).alias("first"))
-    return counts.select(token, "occurrences", (F.row_number().over(Window.orderBy("first", token)) - 1).cast("long").alias("idx"))
+    return dense_numbers(counts, ["first", token], "idx").select(token, "occurrences", "idx")
 
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:

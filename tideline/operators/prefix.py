@@ -9,15 +9,26 @@ from pyspark.sql import functions as F
 CHUNK = 1 << 17
 
 
-def running(df: DataFrame, seq: str, aggregates: dict[str, tuple[str, Column]]) -> DataFrame:
+def ordered_chunks(df: DataFrame, value: str, parts: int = 200) -> Column:
+    """A column that numbers ranges of ``value`` in order, about equal in rows, nulls first; equal values share one.
+
+    The at most ``parts`` bounds are read once, so that every use of the column agrees.
+    """
+    found = df.agg(F.percentile_approx(F.col(value).cast("double"), [i / parts for i in range(1, parts)], 10_000).alias("b")).first()["b"]
+    bounds = sorted(set(found or []))
+    if not bounds:
+        return F.lit(0)
+    return F.when(F.col(value).isNull(), -1).otherwise(F.size(F.filter(F.lit(bounds), lambda b: b < F.col(value).cast("double"))))
+
+
+def running(df: DataFrame, seq: str, aggregates: dict[str, tuple[str, Column]], chunk: Column | None = None) -> DataFrame:
     """``df`` with running values over ``seq``, the row's own included: name -> (min | max | sum, column).
 
-    Chunks of CHUNK consecutive numbers are scanned side by side; one row for each chunk, N / CHUNK in all,
-    is scanned in order and joined back.
+    Chunks of CHUNK consecutive numbers (or ``chunk``, for other orders) are scanned side by side; one row for
+    each chunk is scanned in order and joined back.
     """
     combine = {"min": (F.min, F.least), "max": (F.max, F.greatest), "sum": (F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))}
-    chunk = F.floor(F.col(seq) / F.lit(CHUNK)).alias("__chunk")
-    rows = df.withColumn("__chunk", chunk)
+    rows = df.withColumn("__chunk", F.floor(F.col(seq) / F.lit(CHUNK)) if chunk is None else chunk)
     totals = rows.groupBy("__chunk").agg(*[combine[kind][0](c).alias(f"__t_{name}") for name, (kind, c) in aggregates.items()])
     before = Window.orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(F.col("__chunk").alias("__c"), *[combine[kind][0](f"__t_{name}").over(before).alias(f"__b_{name}") for name, (kind, _) in aggregates.items()])
@@ -32,20 +43,22 @@ def clocked(stream: DataFrame, seq: str = "seq", t: str = "t") -> DataFrame:
     """``stream`` with ``ct``, the running maximum of ``t``, and ``k``, the number of distinct ``ct`` so far."""
     rows = running(stream, seq, {"ct": ("max", F.col(t))})
     steps = rows.select("ct").distinct()
-    ranked = steps.withColumn("k", F.row_number().over(Window.orderBy("ct")).cast("long"))
+    ranked = dense_numbers(steps, ["ct"], "k").withColumn("k", F.col("k") + 1)
     return rows.join(ranked, "ct").select(*stream.columns, "ct", "k")
 
 
 def dense_numbers(df: DataFrame, order: list[str], name: str = "seq") -> DataFrame:
-    """``df`` with dense numbers from 0 in the order given, which must be total.
+    """``df`` with dense numbers from 0 in the order given, which must be total; the first column is a number or time.
 
-    Groups of equal first order column are counted and only these counts are scanned in order; a row's place
-    within its group comes from a window over the group.
+    Ranges of the first column are counted and only these counts are scanned in order; a row's place within
+    its range comes from a window over the range.
     """
-    head = order[0]
-    counts = df.groupBy(head).agg(F.count("*").alias("__n"))
-    before = Window.orderBy(head).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(F.col(head).alias("__head"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    rows = df.withColumn("__place", F.row_number().over(Window.partitionBy(head).orderBy(*order)) - 1)
-    rows = rows.join(starts, rows[head].eqNullSafe(starts["__head"]))
-    return rows.withColumn(name, (F.col("__start") + F.col("__place")).cast("long")).drop("__head", "__start", "__place")
+    head = "__order"
+    rows = df.withColumn(head, F.unix_micros(F.col(order[0]).cast("timestamp")) if df.schema[order[0]].dataType.typeName().startswith("timestamp") else F.col(order[0]))
+    rows = rows.withColumn("__chunk", ordered_chunks(rows, head))
+    counts = rows.groupBy("__chunk").agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col("__chunk").alias("__c"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    place = F.row_number().over(Window.partitionBy("__chunk").orderBy(*order)) - 1
+    rows = rows.withColumn("__place", place).join(starts, F.col("__chunk") == F.col("__c"))
+    return rows.withColumn(name, (F.col("__start") + F.col("__place")).cast("long")).drop(head, "__chunk", "__c", "__start", "__place")
