@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 #: Words that a worker process remembers; beyond that it forgets them all and begins again.
-CACHE_WORDS = 400_000
-#: Words of a text that are held at a time.
-RUN = 100_000
+CACHE_WORDS = 200_000
+#: Words of a text, and rows of a result, that are held at a time.
+RUN, ROWS = 100_000, 512
 #: For Spark's regular expressions, where ``\s`` is ASCII only.
 _SPACE = r"\t-\r \u0085   -     　"
 
@@ -113,7 +113,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, ids: bool = True, cou
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(ranks.value, pattern)
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             out: dict[str, list] = {c: [] for c in made}
             for text in batch.column("__text"):
                 n, said, read, every = 0, hashlib.sha256(), hashlib.sha256(), []
