@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tideline.llm import bpe, chat, components, decontaminate, html_text, language, neighbours, queries, repeats, secrets, simhash, urls
+from tideline.llm import bpe, chat, common, components, decontaminate, html_text, language, neighbours, queries, repeats, secrets, simhash, urls
 
 WORDS = "the and of to in that is was for on with as by at from this be are or an it not which but have had they you were their one all we can her has there been if more when will would who so no".split()
 
@@ -503,3 +503,12 @@ def test_bpe_by_fold(spark):
     encoding = reference_encoding()
     got = {r["doc_id"]: r["ids"] for r in bpe.encode_by_fold(documents(spark, rows), VOCABULARY, public_tokenizers.PATTERN).collect()}
     assert got == {i: encoding.encode_ordinary(t or "") for i, t in rows}
+
+
+def test_broadcast_is_bounded_by_size(spark):
+    few = spark.createDataFrame([("a" * 1000,)], "s string")
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    assert hinted(common.checked_broadcast(few, 5))
+    assert not hinted(common.checked_broadcast(few, 5, common.string_weight("s")))
+    assert hinted(common.checked_broadcast(few, 16, common.string_weight("s")))
+    assert hinted(common.checked_broadcast(few.where("false"), 0, common.string_weight("s")))

@@ -72,10 +72,17 @@ def text_tag(name: str = "text") -> Column:
     return F.xxhash64(F.col(name))
 
 
-def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows (counted now), else without one.
 
-    Without the hint the join shuffles, and AQE splits its skewed partitions.
+    ``weight`` is for rows of no fixed size: how many small rows each stands for. The weights are summed over the
+    whole table, so one huge row is no more broadcast than many small ones. Without the hint the join shuffles,
+    and AQE splits its skewed partitions.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    n = df.limit(rows + 1).count() if weight is None else df.agg(F.sum(weight)).first()[0] or 0
+    return F.broadcast(df) if n <= rows else df
 
+
+def string_weight(name: str) -> Column:
+    """The weight of a row that holds a string: one for each 64 bytes begun."""
+    return F.floor(F.octet_length(F.coalesce(F.col(name), F.lit(""))) / 64) + 1

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, materialize, text_of, text_tag
+from .common import checked_broadcast, materialize, string_weight, text_of, text_tag
 
 WORDS, CONTAINMENT = 5, 0.8
 
@@ -81,7 +81,7 @@ def contained(docs: DataFrame, benchmark: DataFrame, threshold: float = CONTAINM
     said = said.select("doc_id", "tag", F.explode_outer("shingles").alias("shingle"))
     items = shingles(benchmark.select("item_id", words(text_of()).alias("words")).distinct())
     items = items.select("item_id", F.size("shingles").alias("n_item"), F.explode_outer("shingles").alias("shingle"))
-    shared = said.join(checked_broadcast(items), "shingle").groupBy("doc_id", "tag", "item_id", "n_item").agg(F.count("*").alias("n_shared"))
+    shared = said.join(checked_broadcast(items, weight=string_weight("shingle")), "shingle").groupBy("doc_id", "tag", "item_id", "n_item").agg(F.count("*").alias("n_shared"))
     a, b = shared.alias("a"), pairs.alias("b")
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.tag") == F.col("b.tag")) & F.col("a.item_id").eqNullSafe(F.col("b.item_id"))
     return a.join(b, same, "left_semi").where(F.col("n_shared") >= F.ceil(F.col("n_item") * F.lit(threshold) - F.lit(1e-9)))

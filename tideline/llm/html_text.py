@@ -17,8 +17,8 @@ from .urls import host_of
 
 #: A class of tokens is a template's if it has so many tokens, on so many pages and on this share of the host's.
 CLASS_SIZE, CLASS_PAGES, CLASS_SHARE = 2, 3, 0.5
-#: Hosts whose templates are broadcast at most; beyond that pages and templates are joined by shuffling.
-TEMPLATE_HOSTS = 50_000
+#: Tokens of all hosts' templates that are broadcast at most; beyond that pages and templates are joined by shuffling.
+TEMPLATE_TOKENS = 500_000
 
 _MARKUP = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>", re.S
@@ -249,7 +249,7 @@ def extract(pages: DataFrame) -> DataFrame:
     host of its own; repeated rows stay; an empty table gives no rows.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
-    found = checked_broadcast(materialize(templates(rows)), TEMPLATE_HOSTS)
+    found = checked_broadcast(materialize(templates(rows)), TEMPLATE_TOKENS, F.size(F.flatten("classes")) + F.octet_length("__host"))
     joined = rows.join(found, F.col("host") == F.col("__host"), "left").select("page_id", "url", "html", "classes")
     kind = pages.schema["page_id"].dataType.simpleString()
     return joined.mapInArrow(_text_batches, f"page_id {kind}, url string, text string, n_chars long")

@@ -133,7 +133,7 @@ def redact(docs: DataFrame, owner: str = "source", mask: str = "[secret]") -> Da
     """
     found = scan(docs, owner).where(F.size("spans") > 0).dropDuplicates(["doc_id", "tag"])
     spans = materialize(found.select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("__spans")))
-    rows = docs.join(checked_broadcast(spans, 100_000), docs["doc_id"].eqNullSafe(spans["__id"]) & (F.xxhash64(docs["text"]) == spans["__tag"]), "left")
+    rows = docs.join(checked_broadcast(spans, weight=F.size("__spans")), docs["doc_id"].eqNullSafe(spans["__id"]) & (F.xxhash64(docs["text"]) == spans["__tag"]), "left")
     zero = F.lit(0).cast("bigint")
     cut = F.aggregate(
         "__spans", F.struct(zero.alias("at"), F.array().cast("array<string>").alias("out")),
