@@ -243,6 +243,21 @@ def test_neighbours(spark):
     assert neighbours.search(df.limit(0)).count() == 0
 
 
+def test_neighbours_in_a_crowd(spark):
+    rng = np.random.default_rng(1)
+    crowd = rng.standard_normal(64) + 0.001 * rng.standard_normal((1500, 64))
+    table = np.concatenate([crowd, 2.0 ** rng.integers(-3, 4, (500, 1)) * rng.standard_normal(64) * np.ones((500, 1)), rng.standard_normal((2500, 64))])[rng.permutation(4500)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(table)], "vec_id long, embedding array<double>").coalesce(1)
+    got = {}
+    for r in neighbours.search(df).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    unit = table / np.linalg.norm(table, axis=1, keepdims=True)
+    for q in range(0, 4500, 50):
+        s = np.round(unit @ unit[q], 12)
+        s[q] = -2
+        assert [got[q][k] for k in range(1, 6)] == np.lexsort((np.arange(4500), -s))[:5].tolist()
+
+
 # 7 simhash
 
 

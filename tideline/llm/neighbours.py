@@ -19,8 +19,12 @@ BOOKS, CODES, BEAM = 16, 256, 4
 FIT_ROWS, FIT_ROUNDS = 8192, 8
 #: Queries that are broadcast at a time, and vectors scored at a time.
 QUERY_BLOCK, ROW_BLOCK = 2048, 2048
-#: Candidates of each block of rows that are reranked for a query.
+#: Candidates of each block of rows that are scored first, only to find how good the k-th best is at least.
 SHORTLIST = 64
+#: Share of a block's pairs of query and row above which all of them are scored by one product of matrices.
+DENSE = 0.02
+#: Scores that agree to so many parts of one are a tie.
+TIE = 1e12
 
 
 @dataclass(frozen=True)
@@ -42,7 +46,7 @@ def fit(sample: np.ndarray, books: int = BOOKS, codes: int = CODES, rounds: int
         rest -= words[m][_nearest(rest, words[m])]
     found = Books(words)
     for _ in range(2):
-        at, _ = encode(found, x)
+        at, _, _ = encode(found, x)
         for m in range(books):
             others = x - sum(words[j][at[:, j]] for j in range(books) if j != m)
             _recentre(words[m], others, at[:, m], rng)
@@ -63,10 +67,10 @@ def _recentre(words: np.ndarray, x: np.ndarray, near: np.ndarray, rng: np.random
         words[n == 0] = x[rng.choice(len(x), int((n == 0).sum()))]
 
 
-def encode(found: Books, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (n x BOOKS) and norms of the reconstructions: beam search over the codebooks in order."""
+def encode(found: Books, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes (n x BOOKS), norms of the reconstructions and their angles to ``x``: beam search over the codebooks in order."""
     words = found.words
-    out, norms = [], []
+    out, norms, angles = [], [], []
     for k in range(0, len(x), 512):
         part = x[k : k + 512].astype(np.float32)
         n, rows = len(part), np.arange(len(part))[:, None]
@@ -81,9 +85,16 @@ def encode(found: Books, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, n
             codes = np.concatenate([codes[rows, b], c[:, :, None].astype(np.uint8)], 2)
             made = made[rows, b] + book[c]
         last = ((part[:, None, :] - made) ** 2).sum(2).argmin(1)
+        final, exact = made[np.arange(n), last].astype(np.float64), x[k : k + 512].astype(np.float64)
+        norm = np.linalg.norm(final, axis=1)
+        along = final / np.maximum(norm, 1e-300)[:, None]
+        cosine = (exact * along).sum(1)
         out.append(codes[np.arange(n), last])
-        norms.append(np.linalg.norm(made[np.arange(n), last], axis=1))
-    return (np.concatenate(out), np.concatenate(norms)) if out else (np.empty((0, len(words)), np.uint8), np.empty(0))
+        norms.append(norm)
+        angles.append(np.arctan2(np.linalg.norm(exact - cosine[:, None] * along, axis=1), cosine))
+    if not out:
+        return np.empty((0, len(words)), np.uint8), np.empty(0), np.empty(0)
+    return np.concatenate(out), np.concatenate(norms), np.concatenate(angles)
 
 
 def usable(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -109,7 +120,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def build(rows: DataFrame) -> tuple[DataFrame, Books | None]:
-    """The index of ``rows`` (vec_id, v): (ids, v, codes, norm) for each distinct vector, and its codebooks.
+    """The index of ``rows`` (vec_id, v): (ids, v, codes, norm, angle) for each distinct vector, and its codebooks.
 
     Equal vectors share an entry with the smallest of their ids: at most six are needed, since a query wants
     five neighbours besides itself; the rest of a group never meets in a task.
@@ -129,55 +140,98 @@ def build(rows: DataFrame) -> tuple[DataFrame, Books | None]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes, norms = encode(sent.value, _unit(_matrix(batch.column("v"))))
+            codes, norms, angles = encode(sent.value, _unit(_matrix(batch.column("v"))))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("ids"), batch.column("v"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms.astype(np.float64))], ["ids", "v", "codes", "norm"]
+                [batch.column("ids"), batch.column("v"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms), pa.array(angles)], ["ids", "v", "codes", "norm", "angle"]
             )
 
-    indexed = entries.select("ids", "v").mapInArrow(run, "ids array<long>, v array<double>, codes binary, norm double")
+    indexed = entries.select("ids", "v").mapInArrow(run, "ids array<long>, v array<double>, codes binary, norm double, angle double")
     return materialize(indexed), found
 
 
+def _within(approx: np.ndarray, angles: np.ndarray, slack: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """rows x queries: where the cosine may reach ``least``, given that of the row's reconstruction.
+
+    The row lies within ``angles`` of its reconstruction, so by the triangle inequality of the sphere the query
+    is at most arccos(least) + angles from the latter. ``slack`` covers the rounding of ``approx``.
+    """
+    c, s, t = np.cos(angles), np.sin(angles), np.clip(least, 0, 1)
+    reach = np.outer(c, t) - np.outer(s, np.sqrt(1 - t * t)) - slack[:, None]
+    return (approx >= reach) | (least <= 0) | (c <= 0)[:, None]
+
+
+def _best(found: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, ...]:
+    """Of (query, id, tie, score) the k best of each query, in order; an id counts once."""
+    q, i, tie, _ = found
+    order = np.lexsort((-tie, i, q))
+    first = np.r_[True, (q[order][1:] != q[order][:-1]) | (i[order][1:] != i[order][:-1])][: len(order)]
+    order = order[first]
+    order = order[np.lexsort((i[order], -tie[order], q[order]))]
+    at = np.arange(len(order)) - np.searchsorted(q[order], q[order])
+    return tuple(x[order[at < k]] for x in found)
+
+
 def _search_block(index: DataFrame, found: Books, ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
-    """(query_id, vec_id, score): for each query of a block the k best of each batch of rows."""
+    """(query_id, vec_id, tie, score): for each query of a block the k best of each task's rows.
+
+    Every row whose reconstruction does not rule it out is scored exactly, however many there are.
+    """
     sent = index.sparkSession.sparkContext.broadcast((found, ids, queries))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books, query_ids, exact = sent.value
-        unit = _unit(exact).astype(np.float32)
+        exact = _unit(exact)
+        unit = exact.astype(np.float32)
         tables = np.einsum("qd,mcd->mcq", unit, books.words)  # lookup tables: inner products with every code word
-        squares = np.sqrt((exact * exact).sum(1))
+        # what the 32-bit sums that make up an inner product may be off by
+        off = np.finfo(np.float32).eps * (books.words.shape[2] + 2 * len(books.words)) * np.linalg.norm(books.words, axis=2).max(1).sum()
+        best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        least = np.full(len(exact), -np.inf)  # score of the k-th best so far
         for batch in batches:
-            vectors, members = _matrix(batch.column("v")), batch.column("ids").to_pylist()
+            vectors, members = _unit(_matrix(batch.column("v"))), batch.column("ids")
+            ends = np.r_[0, np.cumsum(members.value_lengths().to_numpy())]
+            members = members.flatten().to_numpy()
             codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(len(vectors), -1)
-            norms = np.maximum(batch.column("norm").to_numpy(), 1e-12).astype(np.float32)
-            lengths = np.sqrt((vectors * vectors).sum(1))
+            norms, angles = np.maximum(batch.column("norm").to_numpy(), 1e-12), batch.column("angle").to_numpy()
             for start in range(0, len(vectors), ROW_BLOCK):
                 block = slice(start, min(start + ROW_BLOCK, len(vectors)))
-                approx = reduce(np.add, (tables[m][codes[block, m]] for m in range(codes.shape[1]))) / norms[block, None]
-                width = min(SHORTLIST, len(approx))
-                short = np.argpartition(-approx, width - 1, axis=0)[:width]  # rows x queries
-                rows = short.T + start
-                scores = np.stack([(vectors[r] @ exact[q]) / (lengths[r] * squares[q]) for q, r in enumerate(rows)]) if len(exact) else np.empty((0, width))
-                out_q, out_v, out_s = [], [], []
-                for q, (r, s) in enumerate(zip(rows, scores)):
-                    own, picked = query_ids[q], []
-                    for j in np.argsort(-s, kind="stable")[: k + 1]:
-                        picked += [(-s[j], i) for i in members[r[j]] if i != own]
-                    cut = sorted(picked)[:k]
-                    out_q += [own] * len(cut)
-                    out_v += [i for _, i in cut]
-                    out_s += [-s_ for s_, _ in cut]
-                yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_v, pa.int64()), pa.array(out_s, pa.float64())], ["query_id", "vec_id", "score"])
-
-    return index.mapInArrow(run, "query_id long, vec_id long, score double")
+                part = vectors[block]
+                approx = reduce(np.add, (tables[m][codes[block, m]] for m in range(codes.shape[1]))) / norms[block, None].astype(np.float32)
+                width = min(SHORTLIST, len(part))
+                if width > k:  # k + 1 entries hold at least k ids besides the query's own
+                    short = np.argpartition(-approx, width - 1, axis=0)[:width].T
+                    scores = np.stack([part[r] @ exact[q] for q, r in enumerate(short)])
+                    least = np.maximum(least, np.partition(scores, width - k - 1, axis=1)[:, width - k - 1])
+                within = _within(approx, angles[block], off / norms[block] + 1e-6, least - 2 / TIE)
+                if within.mean() > DENSE:
+                    scores = part @ exact.T
+                    if len(part) > k:
+                        least = np.maximum(least, np.partition(scores, len(part) - k - 1, axis=0)[len(part) - k - 1])
+                    r, q = np.nonzero(scores >= least - 2 / TIE)
+                    s = scores[r, q]
+                else:
+                    r, q = np.nonzero(within)
+                    s = np.concatenate([np.einsum("nd,nd->n", part[r[j : j + 65536]], exact[q[j : j + 65536]]) for j in range(0, len(r), 65536)] or [np.empty(0)])
+                    r, q, s = (x[s >= least[q] - 2 / TIE] for x in (r, q, s))
+                sizes = ends[start + r + 1] - ends[start + r]
+                at = np.repeat(ends[start + r] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+                q, i, s = np.repeat(q, sizes), members[at], np.repeat(s, sizes)
+                other = i != query_ids[q]
+                new = (q[other], i[other], np.rint(s[other] * TIE).astype(np.int64), s[other])
+                best = _best(tuple(np.concatenate(x) for x in zip(best, new)), k)
+                full = np.flatnonzero(np.bincount(best[0], minlength=len(exact)) == k)
+                least[full] = np.maximum(least[full], best[3][np.searchsorted(best[0], full, side="right") - 1])
+        yield pa.RecordBatch.from_arrays([pa.array(query_ids[best[0]], pa.int64()), *(pa.array(x) for x in best[1:])], ["query_id", "vec_id", "tie", "score"])
+
+    return index.mapInArrow(run, "query_id long, vec_id long, tie long, score double")
 
 
 def search(vectors: DataFrame, every: int = 50, k: int = 5, vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest by cosine of each row whose vec_id is divisible by ``every``.
 
     All rows but the query's own id are candidates; queries go out in blocks of QUERY_BLOCK, each against the
-    whole index. Scores are cosines of the original vectors in double precision; ties go to the smaller vec_id.
+    whole index. Codes only rule rows out: all that may be among the k best are scored exactly, so none is missed.
+    Scores are cosines of the original vectors in double precision; ties (to TIE) go to the smaller vec_id.
     Fewer candidates: all of them. Ids are taken to be unique; a repeated row counts as one neighbour. Vectors
     that ``usable`` leaves out take no part. An empty table gives no rows.
     """
@@ -196,6 +250,6 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, vector: str = "embed
         table = asked.where(F.col("block") == b).toArrow()
         if table.num_rows:
             parts.append(_search_block(index, found, table.column("vec_id").to_numpy(), _matrix(table.column("v").combine_chunks()), k))
-    best = reduce(DataFrame.union, parts).distinct()
-    order = "row_number() over (partition by query_id order by score desc, vec_id)"
+    best = reduce(DataFrame.union, parts).groupBy("query_id", "vec_id").agg(F.max(F.struct("tie", "score")).alias("x")).select("query_id", "vec_id", "x.tie", "x.score")
+    order = "row_number() over (partition by query_id order by tie desc, vec_id)"
     return best.withColumn("rank", F.expr(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
