@@ -258,6 +258,20 @@ def test_neighbours_in_a_crowd(spark):
         assert [got[q][k] for k in range(1, 6)] == np.lexsort((np.arange(4500), -s))[:5].tolist()
 
 
+def test_neighbours_repeated_rows(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(120)]
+    rows += [(200 + i, rows[50][1]) for i in range(9)] + [(130 + i, rows[100][1]) for i in range(3)]
+    repeated = rows + [rows[50]] * 5 + [(200, rows[50][1])] * 5 + [rows[100]] + [(130, rows[100][1])]
+    df = spark.createDataFrame(repeated, "vec_id long, embedding array<double>").coalesce(1)
+    want = brute(rows, 50, 7)
+    for k in (5, 7):
+        got = {}
+        for r in neighbours.search(df, k=k).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+        assert {q: [i for _, i in sorted(x)] for q, x in got.items()} == {q: x[:k] for q, x in want.items()}
+
+
 # 7 simhash
 
 

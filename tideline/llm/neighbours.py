@@ -119,14 +119,15 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def build(rows: DataFrame) -> tuple[DataFrame, Books | None]:
+def build(rows: DataFrame, k: int = 5) -> tuple[DataFrame, Books | None]:
     """The index of ``rows`` (vec_id, v): (ids, v, codes, norm, angle) for each distinct vector, and its codebooks.
 
-    Equal vectors share an entry with the smallest of their ids: at most six are needed, since a query wants
-    five neighbours besides itself; the rest of a group never meets in a task.
+    Equal vectors share an entry with the smallest of their ids, each once: at most k + 1 are needed, since a query
+    wants k neighbours besides itself; the rest of a group never meets in a task.
     """
     keyed = rows.withColumn("key", F.sha2(F.array_join(F.transform("v", lambda x: (x + F.lit(0.0)).cast("string")), ","), 256))
-    ranked = keyed.withColumn("n", F.expr("row_number() over (partition by key order by vec_id)")).where("n <= 6")
+    once = keyed.groupBy("key", "vec_id").agg(F.first("v").alias("v"))
+    ranked = once.withColumn("n", F.expr("row_number() over (partition by key order by vec_id)")).where(F.col("n") <= k + 1)
     entries = materialize(ranked.groupBy("key").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"), F.first("v").alias("v")))
     total = entries.count()
     if not total:
@@ -236,7 +237,7 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, vector: str = "embed
     that ``usable`` leaves out take no part. An empty table gives no rows.
     """
     rows = usable(vectors, vector)
-    index, found = build(rows)
+    index, found = build(rows, k)
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.first("v").alias("v"))
