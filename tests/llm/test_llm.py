@@ -206,6 +206,17 @@ def test_templates_leave_slots(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_templates_of_a_part_of_a_host(spark):
+    body = lambda kind, i: f"<div><h2>{kind} name</h2><span>{kind} menu</span></div><div>{kind} text {i}</div><div><i>{kind} rights</i></div>"
+    kinds = ["blog"] * 12 + ["shop"] * 7 + ["forum"] * 4
+    rows = [(i, "http://a.b/x", body(kind, i)) for i, kind in enumerate(kinds)]
+    copies = "<div>copied</div><p>several times</p>"
+    rows += [(100 + i, "http://a.b/y", copies) for i in range(5)] + [(200, "http://c.d/", copies), (200, "http://c.d/", copies), (201, "http://c.d/2", copies)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    want = [(i, f"{kind} text {i}") for i, kind in enumerate(kinds)] + [(r[0], "copied\nseveral times") for r in rows[len(kinds) :]]
+    assert sorted((r["page_id"], r["text"]) for r in got) == sorted(want)
+
+
 def test_classes_must_nest():
     assert html_text.valid_classes([1, 2, 3, 4, 5, 6], [[1, 6], [2, 3], [4, 5]]) == [[1, 6], [2, 3], [4, 5]]
     assert html_text.valid_classes([1, 2, 3, 4], [[1, 3], [2, 4]]) == [[1, 3]]

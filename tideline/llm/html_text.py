@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 from typing import NamedTuple
@@ -12,12 +14,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, materialize
+from .common import checked_broadcast, materialize, string_weight
 from .urls import host_of
 
-#: A class of tokens is a template's if it has so many tokens, on so many pages and on this share of the host's.
-CLASS_SIZE, CLASS_PAGES, CLASS_SHARE = 2, 3, 0.5
-#: Tokens of all hosts' templates that are broadcast at most; beyond that pages and templates are joined by shuffling.
+#: A class of tokens is a template's if it has so many tokens and is on so many different pages of the host.
+CLASS_SIZE, CLASS_PAGES = 2, 3
+#: Tokens of templates that are broadcast at most; beyond that pages and templates are joined by shuffling.
 TEMPLATE_TOKENS = 500_000
 
 _MARKUP = re.compile(
@@ -165,16 +167,20 @@ class Page:
             self._path = "".join(f"/{t}" for t, _, _ in self._stack)[:400]
 
 
-def text_of_page(page: Page, classes: list[list[int]]) -> str:
-    """The blocks of the article; without one, the slots of the template: blocks no valid class contains."""
+def text_of_page(page: Page, classes: list[tuple[int, list[list[int]]]]) -> str:
+    """The blocks of the article; without one, the slots of the template: blocks no valid class contains.
+
+    ``classes`` come by their number of pages. Only those on equally many pages must nest: of two others the one
+    on fewer pages may be a section's template, whose parts lie among those of the whole site's.
+    """
     if page.has_article:
         return "\n".join(b.text for b in page.blocks if b.inside)
-    fixed = {t for c in valid_classes(page.tokens, classes) for t in c}
+    fixed = {t for _, some in classes for c in valid_classes(page.tokens, some) for t in c}
     return "\n".join(b.text for b in page.blocks if b.token not in fixed)
 
 
 def valid_classes(tokens: list[int], classes: list[list[int]]) -> list[list[int]]:
-    """Classes (tokens in template order) that the page has in that order and that nest: none crosses another."""
+    """Classes (tokens in template order) that the page has in that order and that nest: none crosses one that begins before it."""
     at = {t: k for k, t in enumerate(tokens)}
     placed = []
     for c in classes:
@@ -185,55 +191,63 @@ def valid_classes(tokens: list[int], classes: list[list[int]]) -> list[list[int]
     kept: list[tuple[list[int], list[int]]] = []
     for where, c in placed:
         # within the span of an earlier class it must lie in one slot, between two of its neighbours
-        if all(where[0] > w[-1] or len({sum(x < y for x in w) for y in where}) == 1 for w, _ in kept):
+        if all(bisect(w, where[0]) == bisect(w, where[-1]) for w, _ in kept):
             kept.append((where, c))
     return [c for _, c in kept]
 
 
-def _token_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, token, pages, vector, rank): tokens that occur once on a page, summed over the pages of a batch.
+_PARSED = "host string, key long, article boolean, shape long, once array<long>, more array<long>"
 
-    ``vector`` stands for the set of pages: the exclusive or of their hashes. Token 0 counts the host's pages.
-    """
+
+def _token_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each page its tokens that occur once, in order, the others if it has no article, and a hash of its whole content."""
     for batch in batches:
-        sums: dict[tuple[str, int], list[int]] = {}
-        for host, key, html in zip(batch.column("host").to_pylist(), batch.column("key").to_pylist(), batch.column("html").to_pylist()):
+        out: list[list] = [[], [], [], []]
+        for html in batch.column("html").to_pylist():
             page = Page(html)
-            seen: dict[int, int] = {}
-            for t in page.tokens:
-                seen[t] = seen.get(t, 0) + 1
+            seen = Counter(page.tokens)
             once = [t for t in page.tokens if seen[t] == 1]
-            for rank, t in enumerate([0, *once]):
-                x = sums.setdefault((host, t), [0, 0, 0])
-                x[0] += 1
-                x[1] ^= key
-                x[2] += rank
-        cols = [[h for h, _ in sums], [t for _, t in sums], *([x[k] for x in sums.values()] for k in range(3))]
-        types = [pa.string(), *[pa.int64()] * 4]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["host", "token", "pages", "vector", "rank"])
+            more = [] if page.has_article else [t for t in seen if seen[t] > 1]
+            shape = _hash(",".join(map(str, page.tokens)), *(b.text for b in page.blocks))
+            for column, x in zip(out, (page.has_article, shape, once, more)):
+                column.append(x)
+        types = [pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("key"), *map(pa.array, out, types)], ["host", "key", "article", "shape", "once", "more"])
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, classes): for each host the equivalence classes of its template, tokens in template order.
+def templates(parsed: DataFrame) -> DataFrame:
+    """(host, lead, pages, c): the equivalence classes of each host's templates, tokens in template order, by first token.
 
     Tokens outside articles with the same occurrence vector over the host's pages form a class. Vectors are
     compared by page count and fingerprint, so no host's pages meet in a task. A class has CLASS_SIZE tokens or
-    more, on CLASS_PAGES pages or more and on CLASS_SHARE of the host's: at most a few times the tokens of a page.
+    more, on CLASS_PAGES pages or more, however large a share of the host's those are: a host may have many
+    templates. Pages of equal content count once, since copies cannot tell a template from what fills it.
+    """
+    different = parsed.groupBy("host", "shape").agg(F.first("once").alias("once"))
+    tokens = different.select("host", "shape", F.posexplode("once").alias("rank", "token"))
+    sums = tokens.groupBy("host", "token").agg(F.count("*").alias("pages"), F.bit_xor("shape").alias("vector"), F.sum("rank").alias("rank")).where(F.col("pages") >= CLASS_PAGES)
+    classes = sums.groupBy("host", "pages", "vector").agg(F.array_sort(F.collect_list(F.struct((F.col("rank") / F.col("pages")).alias("r"), "token"))).alias("c"))
+    classes = classes.where(F.size("c") >= CLASS_SIZE).select("host", "pages", F.col("c.token").alias("c"))
+    return classes.select(F.col("host").alias("__host"), F.col("c")[0].alias("__lead"), "pages", "c")
+
+
+def classes_of_pages(parsed: DataFrame) -> DataFrame:
+    """(__host, __key, classes, size): for each page without article the classes whose first token it has, by their number of pages.
+
+    A token belongs to one class at most, so a page meets few of its host's classes and a large host's never meet.
     """
-    rows = pages.select("host", "html", F.xxhash64("page_id", "url", "html").alias("key"))
-    sums = rows.mapInArrow(_token_batches, "host string, token long, pages long, vector long, rank long")
-    sums = sums.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"), F.sum("rank").alias("rank")).where(F.col("pages") >= CLASS_PAGES)
-    sums = materialize(sums)
-    total = sums.where("token = 0").select(F.col("host").alias("__host"), F.col("pages").alias("total"))
-    often = sums.where("token <> 0").join(total, F.col("host") == F.col("__host")).where(F.col("pages") >= F.col("total") * CLASS_SHARE)
-    classes = often.groupBy("host", "pages", "vector").agg(F.array_sort(F.collect_list(F.struct((F.col("rank") / F.col("pages")).alias("r"), "token"))).alias("c"))
-    classes = classes.where(F.size("c") >= CLASS_SIZE).select("host", F.col("c.token").alias("c"))
-    return classes.groupBy(F.col("host").alias("__host")).agg(F.collect_list("c").alias("classes"))
+    plain = parsed.where("not article").groupBy(F.col("host").alias("__host"), F.col("key").alias("__key")).agg(F.first(F.concat("once", "more")).alias("tokens"))
+    hosts = checked_broadcast(plain.select("__host").distinct(), TEMPLATE_TOKENS, string_weight("__host"))
+    found = materialize(templates(parsed.join(hosts, F.col("host") == F.col("__host"), "left_semi")))
+    found = checked_broadcast(found, TEMPLATE_TOKENS, F.size("c") + string_weight("__host"))
+    met = plain.select("__host", "__key", F.explode("tokens").alias("__lead")).join(found, ["__host", "__lead"])
+    by_pages = met.groupBy("__host", "__key", "pages").agg(F.collect_list("c").alias("c"), F.sum(F.size("c")).alias("size"))
+    return by_pages.groupBy("__host", "__key").agg(F.collect_list(F.struct("pages", "c")).alias("classes"), F.sum("size").alias("size"))
 
 
 def _text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [text_of_page(Page(html), classes or []) for html, classes in zip(batch.column("html").to_pylist(), batch.column("classes").to_pylist())]
+        texts = [text_of_page(Page(html), [(c["pages"], c["c"]) for c in classes or []]) for html, classes in zip(batch.column("html").to_pylist(), batch.column("classes").to_pylist())]
         # half a surrogate pair is no character
         texts = [t.encode("utf-8", "replace").decode() for t in texts]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
@@ -249,7 +263,9 @@ def extract(pages: DataFrame) -> DataFrame:
     host of its own; repeated rows stay; an empty table gives no rows.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
-    found = checked_broadcast(materialize(templates(rows)), TEMPLATE_TOKENS, F.size(F.flatten("classes")) + F.octet_length("__host"))
-    joined = rows.join(found, F.col("host") == F.col("__host"), "left").select("page_id", "url", "html", "classes")
+    rows = rows.withColumn("key", F.xxhash64("page_id", "url", "html"))
+    parsed = materialize(rows.select("host", "key", "html").mapInArrow(_token_batches, _PARSED))
+    found = checked_broadcast(materialize(classes_of_pages(parsed)), TEMPLATE_TOKENS, F.col("size") + string_weight("__host"))
+    joined = rows.join(found, (F.col("host") == F.col("__host")) & (F.col("key") == F.col("__key")), "left").select("page_id", "url", "html", "classes")
     kind = pages.schema["page_id"].dataType.simpleString()
     return joined.mapInArrow(_text_batches, f"page_id {kind}, url string, text string, n_chars long")
