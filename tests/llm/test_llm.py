@@ -126,6 +126,19 @@ def test_language(spark):
     assert {900, 901, 902}.isdisjoint({r["doc_id"] for r in kept.collect()}) and kept.columns == df.drop("score").columns
 
 
+def test_documents_stay_without_labels(spark):
+    df = spark.createDataFrame([(1, "some words", None), (2, "12 !", None), (3, None, None), (4, "é", None), (4, "é", None)], "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in language.recognised(df).collect()) == [1, 4, 4]
+
+
+def test_texts_in_no_learned_language_go(spark):
+    rng = random.Random(5)
+    rows = [(i, prose(rng, rng.randint(3, 200)), "en" if i % 2 else None) for i in range(600)]
+    other = ["Съешь ещё этих мягких французских булок да выпей чаю", "这是一个没有学过的语言的句子这是一个没有学过的语言的句子", "xqzj wvkk pqrz zzxq jjkv wqpx kzzj" * 3]
+    df = spark.createDataFrame(rows + [(1000 + i, x, None) for i, x in enumerate(other)] + [(2000, "on", None)], "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in language.recognised(df).collect()) == [*range(600), 2000]
+
+
 def test_language_counts_do_not_depend_on_runs(monkeypatch):
     rng = random.Random(3)
     texts = [prose(rng, 60) + " -- 12 " + "!" * 40 + prose(rng, 9), "", "é", "..", "x" * 100]

@@ -24,6 +24,9 @@ LANGUAGES = 2000
 RUN = 1 << 19
 #: A document whose best language has a smaller posterior is rejected.
 LEAST_SCORE = 0.5
+#: So is one whose mean log-likelihood an n-gram lies this far below that of all but a share of its language's training
+#: rows; a text of few n-grams may lie SLACK divided by their number further below.
+OUTLIERS, MARGIN, SLACK = 0.001, 1.5, 20.0
 
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
@@ -106,13 +109,8 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         )
 
 
-def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model | None:
-    """Learns from rows of ``docs`` with a non-null lang; the caller leaves out what is held out.
-
-    About ``train_rows`` rows of each language are used, those whose hashed doc_id falls below a threshold;
-    a language with fewer is used whole. Counts meet per (language, bucket) before they reach the driver.
-    None if there is no labelled row.
-    """
+def _chosen(docs: DataFrame, train_rows: int) -> tuple[dict[str, int], DataFrame] | None:
+    """Number of labelled rows by language, and those of them that are learned from."""
     labelled = docs.where("lang is not null").select("doc_id", "lang", "text")
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()}
     if not sizes:
@@ -121,6 +119,20 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model | None:
         raise ValueError(f"more than {LANGUAGES} languages")
     share = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, train_rows / n))]), F.col("lang"))
     picked = labelled.where((F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1_000_000)) / 1e6) < share)
+    return sizes, picked
+
+
+def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model | None:
+    """Learns from rows of ``docs`` with a non-null lang; the caller leaves out what is held out.
+
+    About ``train_rows`` rows of each language are used, those whose hashed doc_id falls below a threshold;
+    a language with fewer is used whole. Counts meet per (language, bucket) before they reach the driver.
+    None if there is no labelled row.
+    """
+    chosen = _chosen(docs, train_rows)
+    if not chosen:
+        return None
+    sizes, picked = chosen
     counts = picked.select("lang", text_of().alias("text")).mapInArrow(_count_batches, "lang string, bucket int, n long")
     counts = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = tuple(sorted(counts["lang"].unique()))
@@ -136,9 +148,9 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model | None:
     return Model(languages, np.log(smooth / smooth.sum(0)), np.log(total / total.sum()))
 
 
-def _scores(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Log posteriors (unnormalised) of each text and whether it has a letter; many short texts at a time."""
-    out, letters = np.tile(model.priors, (len(texts), 1)), np.zeros(len(texts), bool)
+def _scores(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log posteriors (unnormalised) of each text, whether it has a letter and its number of n-grams; many short texts at a time."""
+    out, letters, grams = np.tile(model.priors, (len(texts), 1)), np.zeros(len(texts), bool), np.zeros(len(texts), np.int64)
     start = 0
     while start < len(texts):
         end, size = start, 0
@@ -149,13 +161,14 @@ def _scores(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
             counts, letters[start] = counted(texts[start])
             at = np.flatnonzero(counts)
             out[start] += counts[at] @ model.logs[at]
+            grams[start] = counts.sum()
         else:
-            _score_run(texts[start:end], model, out[start:end], letters[start:end])
+            _score_run(texts[start:end], model, out[start:end], letters[start:end], grams[start:end])
         start = end
-    return out, letters
+    return out, letters, grams
 
 
-def _score_run(texts: list[str], model: Model, out: np.ndarray, letters: np.ndarray) -> None:
+def _score_run(texts: list[str], model: Model, out: np.ndarray, letters: np.ndarray, grams: np.ndarray) -> None:
     parts = []
     for text in texts:
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -166,6 +179,7 @@ def _score_run(texts: list[str], model: Model, out: np.ndarray, letters: np.ndar
     row = np.repeat(np.arange(len(parts)), sizes)
     tokens = np.concatenate(parts)
     letters |= np.bincount(row, tokens != 0, len(parts)) > 0
+    grams += sum(np.maximum(sizes - n + 1, 0) for n in GRAMS)
     for n, h in zip(GRAMS, _buckets(tokens)):
         inside = np.arange(len(h)) + n <= np.repeat(ends, sizes)[: len(h)]  # no n-gram across two texts
         pairs = row[: len(h)][inside] * np.int64(BUCKETS) + h[inside]
@@ -175,31 +189,33 @@ def _score_run(texts: list[str], model: Model, out: np.ndarray, letters: np.ndar
             out[:, k] += np.bincount(r, times * model.logs[b, k], len(parts))
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
+def predict(docs: DataFrame, model: Model | None, likelihood: bool = False) -> DataFrame:
     """The rows of ``docs`` with ``lang_pred`` and ``score``, the posterior of the predicted language (0 to 1).
 
     Only the whole text is looked at. Null texts, texts without a letter and all texts under no model are
-    ``und`` with score 0. Ties go to the language first in order. Repeated rows stay; an empty table is empty.
+    ``und`` with score 0. ``likelihood`` adds the mean log-likelihood of the n-grams in that language, and their number ``grams``. Ties go to the language first in order. Repeated rows stay; an empty table is empty.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    keep = docs.columns
+    keep, added = docs.columns, ["likelihood", "grams"] if likelihood else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             if model is None:
-                names, best = ["und"] * len(texts), np.zeros(len(texts))
+                names, best, mean, grams = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
             else:
-                logs, letters = _scores(texts, model)
+                logs, letters, grams = _scores(texts, model)
                 top = logs.argmax(1)
+                mean = (logs.max(1) - model.priors[top]) / np.maximum(grams, 1)
                 best = 1 / np.exp(logs - logs.max(1, keepdims=True)).sum(1)
                 names = [model.languages[k] if ok else "und" for k, ok in zip(top, letters)]
                 best = np.where(letters, best, 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(best)], [*batch.schema.names, "lang_pred", "score"])
+            more = [pa.array(mean), pa.array(grams)] if likelihood else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(best), *more], [*batch.schema.names, "lang_pred", "score", *added])
 
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
-    return docs.mapInArrow(run, ", ".join([*kinds, "lang_pred string", "score double"]))
+    return docs.mapInArrow(run, ", ".join([*kinds, "lang_pred string", "score double", *(f"{c} {t}" for c, t in zip(added, ("double", "long")))]))
 
 
 def held_out(docs: DataFrame) -> DataFrame:
@@ -214,8 +230,26 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def recognised(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of ``docs`` whose language is recognised with a posterior of at least ``least``."""
-    model = fit(held_out(docs.select("doc_id", "lang", "text")).where("not held_out"))
+    """The rows of ``docs`` whose language is recognised: with a posterior of at least ``least``, and as likely as its texts are.
+
+    The posterior only compares the languages learned; a text in none of them is found by its likelihood in the
+    best of them, which ``_floors`` calibrates. Without a labelled row to learn from no language can be told from
+    another: all rows with a letter stay.
+    """
+    learned = held_out(docs.select("doc_id", "lang", "text")).where("not held_out")
+    model = fit(learned)
+    floors = _floors(learned, model) if model else {}
     keep = [F.col(c) for c in docs.columns]
-    scored = predict(docs.select(F.struct(*keep).alias("__row"), F.col("text")), model)
-    return scored.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("__row.*")
+    scored = predict(docs.select(F.struct(*keep).alias("__row"), F.col("text")), model or Model(("any",), np.zeros((BUCKETS, 1)), np.zeros(1)), likelihood=True)
+    scored = scored.where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    if floors:
+        floor = F.element_at(F.create_map(*[F.lit(x) for pair in floors.items() for x in pair]), F.col("lang_pred"))
+        scored = scored.where(F.coalesce(F.col("likelihood") >= floor - MARGIN - F.lit(SLACK) / F.col("grams"), F.lit(True)))
+    return scored.select("__row.*")
+
+
+def _floors(learned: DataFrame, model: Model, train_rows: int = TRAIN_ROWS) -> dict[str, float]:
+    """By language: the mean log-likelihood an n-gram that all but OUTLIERS of the training rows taken for it reach."""
+    _, picked = _chosen(learned, train_rows)
+    scored = predict(picked.select("text"), model, likelihood=True).where("lang_pred <> 'und'")
+    return {r["lang_pred"]: r["floor"] for r in scored.groupBy("lang_pred").agg(F.percentile_approx("likelihood", OUTLIERS, 10_000).alias("floor")).collect()}
