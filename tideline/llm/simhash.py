@@ -12,15 +12,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of, text_tag
+from .common import checked_broadcast, materialize, text_of, text_tag
 from .components import connected_components
 
 #: Words per shingle, bytes of a fingerprint, bits that may differ between linked fingerprints.
 WORDS, BYTES, BITS = 3, 8, 3
 #: d differing bits lie in at most d bytes, so a linked pair shares at least this many positional bytes.
 SHARED = BYTES - BITS
-#: The posting lists: one byte mask for each choice of SHARED positions.
-MASKS = [sum(0xFF << 8 * i for i in at) for at in combinations(range(BYTES), SHARED)]
+#: Posting lists are keyed by three bytes and their positions, all in one half of the fingerprint: of the BITS bytes that may
+#: differ one half has at most one, so every linked pair meets in a list of that half.
+POSTINGS = [sum(0xFF << 8 * i for i in at) for half in (range(4), range(4, 8)) for at in combinations(half, 3)]
+#: A list of more fingerprints is split: its members are posted by every choice of SHARED positions instead.
+LONG_LIST = 8192
+LONG_POSTINGS = [sum(0xFF << 8 * i for i in at) for at in combinations(range(BYTES), SHARED)]
 _CHUNK = 1 << 22
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
@@ -70,6 +74,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_fingerprint_batches, f"doc_id {kind}, tag long, fp long")
 
 
+def _linked(differing: np.ndarray) -> np.ndarray:
+    """Which pairs are linked, from the exclusive or of their fingerprints: tally the bytes they share by position, keep
+    those that reach the guaranteed count, verify these bit by bit."""
+    tally = (differing.reshape(-1, 1).view(np.uint8) == 0).sum(1)
+    kept = np.flatnonzero(tally >= SHARED)
+    out = np.zeros(differing.size, bool)
+    out[kept] = np.bitwise_count(differing.ravel()[kept]) <= BITS
+    return out.reshape(differing.shape)
+
+
 def spanning_links(values: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of the links among distinct fingerprints, never all pairs.
 
@@ -78,6 +92,8 @@ def spanning_links(values: np.ndarray) -> list[tuple[int, int]]:
     """
     values = np.unique(values.astype(np.uint64))
     out: list[tuple[int, int]] = []
+    if len(values) <= 64 and _linked(values[:, None] ^ values[None, :]).sum() == len(values):
+        return out  # each with itself only
     free = int(np.bitwise_or.reduce(values ^ values[0])) if len(values) else 0
     bits = [1 << i for i in range(64) if free >> i & 1]
     by_mask = len(values) > 4096 and len(bits) <= 8 * BITS
@@ -97,7 +113,7 @@ def spanning_links(values: np.ndarray) -> list[tuple[int, int]]:
                 where = where[(values[where] == near) & open_[where]]
             else:
                 left = left[open_[left]]
-                where = left[np.bitwise_count(values[left] ^ values[at]) <= BITS]
+                where = left[_linked(values[left] ^ values[at])]
             open_[where] = False
             queue.extend(where.tolist())
             out.extend((int(values[at].view(np.int64)), int(x)) for x in values[where].view(np.int64))
@@ -126,18 +142,33 @@ def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield links(keys, prints)
 
 
+def _posted(prints: DataFrame, masks: list[int]) -> DataFrame:
+    """(key, fp): each fingerprint in the posting lists of ``masks``."""
+    some = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in masks])
+    rows = prints.select("fp", F.posexplode(some).alias("at", "mask"))
+    return rows.select(F.xxhash64("at", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "fp")
+
+
+def _links_of_lists(posted: DataFrame) -> DataFrame:
+    return posted.repartition("key").sortWithinPartitions("key").mapInArrow(_link_batches, "a long, b long")
+
+
 def links(prints: DataFrame) -> DataFrame:
     """(a, b): links that connect what all pairs of fingerprints within BITS bits connect.
 
-    ``prints`` has distinct ``fp``. A pair within BITS bits shares SHARED of its BYTES positional bytes at
-    least; counting shared bytes pair by pair would visit posting lists of N / 256 entries, so the index is
-    keyed by every choice of SHARED positions at once: exactly the pairs that reach the guaranteed count meet
-    in a list. Each list is verified bit by bit and gives a spanning forest, at most its length less one.
+    ``prints`` has distinct ``fp``. A pair within BITS bits shares SHARED of its BYTES positional bytes at least.
+    Lists of single bytes would hold a 256th of all fingerprints each, so postings are by three bytes. In each
+    list the shared positional bytes of its pairs are tallied, pairs that reach SHARED are kept and verified, and
+    a spanning forest comes out, at most the list's length less one. Fingerprints of a list longer than LONG_LIST
+    are posted by SHARED bytes instead, which spreads them and still lets every linked pair meet.
     """
-    keyed = prints.select("fp", F.posexplode(F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in MASKS])).alias("at", "mask"))
-    keyed = keyed.select(F.xxhash64("at", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "fp")
-    keyed = keyed.repartition("key").sortWithinPartitions("key")
-    return keyed.mapInArrow(_link_batches, "a long, b long")
+    posted = _posted(prints, POSTINGS)
+    long_ = materialize(posted.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > LONG_LIST).select("key"))
+    if long_.isEmpty():
+        return _links_of_lists(posted)
+    long_ = checked_broadcast(long_)
+    crowd = posted.join(long_, "key", "left_semi").select("fp").distinct()
+    return _links_of_lists(posted.join(long_, "key", "left_anti")).union(_links_of_lists(_posted(crowd, LONG_POSTINGS)))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
