@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 import tiktoken
 import xxhash
 from pyspark.sql import functions as F
@@ -391,6 +392,44 @@ def masks(r):
     return [sum(1 << b for b in c) for c in combinations(range(24), r)]
 
 
+def test_links_find_every_pair(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    prints = set(rng.integers(-(2**63), 2**63, 300).tolist())
+    for x in list(prints)[:120]:  # copies at 1 to 5 differing bits, some in bytes of one half only
+        for _ in range(3):
+            some = rng.choice(rng.choice([32, 64]), rng.integers(1, 6), replace=False)
+            prints.add(int((np.int64(x) ^ np.bitwise_xor.reduce(np.int64(1) << some.astype(np.int64)))))
+    prints |= {int(x) for x in np.int64(0x0123456789ABCDEF) ^ rng.integers(0, 1 << 14, 500)}
+    prints = sorted(prints)
+    want = slow_components(prints, [x % 2**64 for x in prints])
+    table = spark.createDataFrame([(x,) for x in prints], "fp long")
+    for limit in (8192, 20):
+        monkeypatch.setattr(simhash, "LONG_LIST", limit)
+        some = simhash.links(table).distinct().collect()
+        assert all(bin((r["a"] ^ r["b"]) % 2**64).count("1") <= 3 for r in some)
+        parent = {x: x for x in prints}
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for r in some:
+            parent[root(r["a"])] = root(r["b"])
+        least = {}
+        for x in prints:
+            least[root(x)] = min(x, least.get(root(x), x))
+        assert [least[root(x)] for x in prints] == want
+
+
+def test_components_of_a_path_take_few_rounds(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(components, "materialize", lambda df: written.append(1) or common.materialize(df))
+    got = components.connected_components(spark.createDataFrame([(i, i + 1) for i in range(500)], "a long, b long")).collect()
+    assert len(got) == 501 and len({r["root"] for r in got}) == 1
+    assert len(written) <= 3 * 14  # three tables a round, rounds by the logarithm
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (5, 5), (10, 9), (9, 8), (8, 7), (7, 6)] + [(100, i) for i in range(101, 160)] + [(i, i + 1) for i in range(200, 260)]
     got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -530,32 +569,63 @@ def reference_encoding():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def test_bpe(spark):
+def hard_texts():
     rng = random.Random(1)
-    bits = ["a", "the", " ", "\n", "\u0085", "\u3000", "é", "漢", "😀", "1", "२", "'s", "'S", "!", "aaaa", "\t", "  ", "İ", "\x1c", "<|endoftext|>"]
-    rows = EDGES + [(100 + i, "".join(rng.choice(bits) for _ in range(rng.randint(0, 40)))) for i in range(300)] + [(900, "a" * 30_000), (901, prose(rng, 50_000))]
+    bits = ["a", "the", " ", "\n", "\u0085", "\u3000", "é", "漢", "😀", "1", "२", "'s", "'S", "!", "aaaa", "\t", "  ", "İ", "\x1c", "<|endoftext|>", "!!"]
+    return EDGES + [(100 + i, "".join(rng.choice(bits) for _ in range(rng.randint(0, 40)))) for i in range(300)] + [(900, "a" * 30_000), (901, prose(rng, 50_000)), (902, "b " * 20_000)]
+
+
+@pytest.mark.parametrize("spaced,limit", [(True, None), (False, 3000), (True, 0)])
+def test_bpe(spark, monkeypatch, spaced, limit):
+    rows = hard_texts()
     encoding = reference_encoding()
     df = documents(spark, rows)
-    out = bpe.encode(df, VOCABULARY, public_tokenizers.PATTERN, digest=True)
+    if limit is not None:
+        monkeypatch.setattr(bpe, "DICTIONARY_BYTES", limit)
+    out = bpe.encode(df, VOCABULARY, public_tokenizers.PATTERN, digest=True, spaced=spaced)
     got = out.collect()
     want = {i: encoding.encode_ordinary(t or "") for i, t in rows}
-    assert len(got) == len(rows)
+    assert len(got) == len(rows) and set(out.columns) >= set(df.columns) - {"text"}
     for r in got:
         ids = want[r["doc_id"]]
         assert r["ids"] == ids and r["n_tokens"] == len(ids)
         assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
     text = {i: t for i, t in rows}
     assert all(r["decoded_sha256"] == hashlib.sha256((text[r["doc_id"]] or "").encode()).hexdigest() for r in got)
-    back = bpe.decode(out.where("doc_id < 900"), VOCABULARY).collect()
-    assert all(bytes(r["decoded"]).decode() == (text[r["doc_id"]] or "") for r in back)
-    assert bpe.encode(df.limit(0), VOCABULARY, public_tokenizers.PATTERN).count() == 0
+    if limit is None:
+        back = bpe.decode(out.where("doc_id < 900"), VOCABULARY).collect()
+        assert all(bytes(r["decoded"]).decode() == (text[r["doc_id"]] or "") for r in back)
+        assert bpe.encode(df.limit(0), VOCABULARY, public_tokenizers.PATTERN).count() == 0
+
+
+def test_bpe_folds_every_word(spark):
+    """The fold alone against the library, and the dictionary made of it."""
+    ranks = bpe.load_ranks(VOCABULARY)
+    splitter = bpe.Splitter(public_tokenizers.PATTERN, True)
+    words = sorted({w for _, t in hard_texts() for run in splitter.runs(t or "") for lead, some in zip(("", " "), run) for x in some for w in splitter.words(lead + x)})
+    words += ["!!", "!!!!", "thererhly", " straßenbahnhaltestelle", "0" * 40, "\0\0", " \u200b\u200b", "aa" * 20]
+    encoding = reference_encoding()
+    kept = [w for w in words if len(w.encode()) <= bpe.FOLD_BYTES and w.encode() not in ranks]
+    df = spark.createDataFrame([(w,) for w in kept], "word string")
+    got = {r["word"]: r["ids"] for r in df.select("word", bpe.fold_merges(F.col("word"), ranks).alias("ids")).collect()}
+    assert got == {w: encoding._encode_single_piece(w.encode()) for w in kept}
+    folded = bpe.fold(documents(spark, hard_texts()).select("text"), ranks, public_tokenizers.PATTERN, True)
+    codec = bpe.Codec(ranks, splitter, folded)
+    found = [codec.looked_up(w.encode()) for w in kept[:-8]]
+    assert all(x == got[w] for x, w in zip(found, kept)) and codec.looked_up(b"not met") is None
 
 
-def test_bpe_by_fold(spark):
-    rows = [(1, "The therh\u3000 erth's 12\n\n x"), (2, ""), (3, None), (4, "ünd ühat the")]
-    encoding = reference_encoding()
-    got = {r["doc_id"]: r["ids"] for r in bpe.encode_by_fold(documents(spark, rows), VOCABULARY, public_tokenizers.PATTERN).collect()}
-    assert got == {i: encoding.encode_ordinary(t or "") for i, t in rows}
+def test_bpe_splits_long_texts(monkeypatch):
+    rng = random.Random(3)
+    text = "".join(rng.choice(["ab", "c", " ", " ", "\n", "'s", "!", "  ", "\u3000", "\x1f"]) for _ in range(5000)) + " end" + " word" * 300
+    want = regex.findall(public_tokenizers.PATTERN, text)
+    splitter = bpe.Splitter(public_tokenizers.PATTERN, True)
+    for size in (1 << 20, 7, 64):
+        monkeypatch.setattr(bpe, "SEGMENT", size)
+        for part in (text, text[-900:], "x", " ", " x", ""):
+            got = [w for run in splitter.runs(part) for lead, some in zip(("", " "), run) for x in some for w in splitter.words(lead + x)]
+            assert got == regex.findall(public_tokenizers.PATTERN, part)
+    assert want
 
 
 def test_broadcast_is_bounded_by_size(spark):

@@ -1,4 +1,4 @@
-"""Byte-level BPE: ranked merges over the bytes of distinct words, and decoding."""
+"""Byte-level BPE: a fold of ranked merges over the corpus's distinct words, and decoding."""
 
 from __future__ import annotations
 
@@ -6,29 +6,157 @@ import base64
 import hashlib
 import heapq
 import json
+import re
+import uuid
+from array import array
+from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import islice
+from struct import pack
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import materialize, release, text_of
 
-#: Words that a worker process remembers; beyond that it forgets them all and begins again.
-CACHE_WORDS = 200_000
-#: Words of a text, and rows of a result, that are held at a time.
-RUN, ROWS = 100_000, 512
-#: For Spark's regular expressions, where ``\s`` is ASCII only.
-_SPACE = r"\t-\r \u0085   -     　"
+#: Chunks that a worker process remembers of each kind; beyond that it forgets them and begins again.
+CACHE_CHUNKS = 150_000
+#: Distinct chunks that a task counts before it passes their words on.
+COUNTED = 400_000
+#: Characters of a text, words of a text of other patterns, and rows of a result that are held at a time.
+SEGMENT, RUN, ROWS = 1 << 20, 100_000, 512
+#: Words of at most so many bytes are folded; a fold takes time by the square of them.
+FOLD_BYTES = 64
+#: Bytes of the folded words that workers are sent at most, those of the most frequent words.
+DICTIONARY_BYTES = 128 << 20
+#: Bits of an id in a packed pair: vocabularies may have 2**20 ids.
+ID_BITS = 20
+
+_IRREGULAR = re.compile(r"\s\s|\A\s|\s\Z")
+_CUT = re.compile(r"\S \S")
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
     """Ranks by piece, from a file of lines ``base64 rank``."""
     with open(path, "rb") as lines:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        return _ranks(lines.read())
+
+
+def _ranks(lines: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines())}
+
+
+# The fold, in Spark's own functions
+
+
+def pair_table(ranks: dict[bytes, int]) -> list[int]:
+    """The literal rank map: a hash table of all pairs of pieces whose concatenation is a piece, as packed numbers.
+
+    A pair of ids a, b that merges into id r is a << 40 | b << 20 | r in one of its two slots, the rest is -1.
+    """
+    pairs = []
+    for piece, r in ranks.items():
+        for i in range(1, len(piece)):
+            a, b = ranks.get(piece[:i]), ranks.get(piece[i:])
+            if a is not None and b is not None:
+                pairs.append(a << 2 * ID_BITS | b << ID_BITS | r)
+    if ranks and max(ranks.values()) >> ID_BITS:
+        raise ValueError(f"ids must be below {1 << ID_BITS}")
+    size = 1 << max(4, (len(pairs) * 5 // 2).bit_length())
+    while (table := _placed(pairs, size)) is None:
+        size *= 2
+    return table
+
+
+def _slots(key: int, size: int) -> tuple[int, int]:
+    h = xxhash.xxh64_intdigest(pack("<q", key), 42)
+    return h & (size - 1), h >> 32 & (size - 1)
+
+
+def _placed(entries: list[int], size: int) -> list[int] | None:
+    """Each entry in one of the two slots of its pair, moving others to theirs; None if that fails."""
+    table = [-1] * size
+    for entry in entries:
+        at = _slots(entry >> ID_BITS, size)[0]
+        for _ in range(200):
+            entry, table[at] = table[at], entry
+            if entry < 0:
+                break
+            one, two = _slots(entry >> ID_BITS, size)
+            at = two if at == one else one
+        else:
+            return None
+    return table
+
+
+def fold_merges(word: Column, ranks: dict[bytes, int]) -> Column:
+    """Ids of the UTF-8 bytes of ``word``: each step of a fold merges the leftmost pair of the lowest rank, if any is left.
+
+    The state is the array of ids so far, at first one for each byte; ranks come from the literal ``pair_table``.
+    """
+    pairs = pair_table(ranks)
+    table = F.from_json(F.lit(json.dumps(pairs)), "array<bigint>")
+    singles = F.from_json(F.lit(json.dumps([ranks.get(bytes([b])) for b in range(256)])), "array<bigint>")
+    mask, low = F.lit(len(pairs) - 1), F.lit((1 << ID_BITS) - 1)
+
+    def rank(a: Column, b: Column) -> Column:
+        key = F.shiftleft(a, ID_BITS).bitwiseOR(b)
+        h = F.xxhash64(key)
+        one = F.get(table, h.bitwiseAND(mask).cast("int"))
+        two = F.get(table, F.shiftrightunsigned(h, 32).bitwiseAND(mask).cast("int"))
+        hit = lambda e: F.shiftright(e, ID_BITS) == key
+        return F.when(hit(one), one.bitwiseAND(low)).when(hit(two), two.bitwiseAND(low))
+
+    def step(ids: Column, _: Column) -> Column:
+        best = F.array_min(F.transform(ids, lambda a, i: F.shiftleft(rank(a, F.get(ids, i + 1)), 16).bitwiseOR(i)))
+        at = lambda m: m.bitwiseAND(F.lit(0xFFFF)).cast("int")
+        joined = lambda m: F.concat(F.slice(ids, F.lit(1), at(m)), F.array(F.shiftright(m, 16)), F.slice(ids, at(m) + 3, F.size(ids)))
+        return F.get(F.transform(F.array(best), lambda m: F.when(m.isNull(), ids).otherwise(joined(m))), F.lit(0))
+
+    letters = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
+    first = F.transform(letters, lambda c: F.get(singles, F.ascii(c)))
+    return F.aggregate(F.sequence(F.lit(2), F.greatest(F.octet_length(word), F.lit(2))), first, step)
+
+
+# Texts as words
+
+
+class Splitter:
+    """Cuts texts into chunks whose words do not depend on what surrounds them.
+
+    With ``spaced`` the pattern's words never reach across the place before a single space that has other
+    characters than white space on both sides; texts are cut there, which costs far less than matching words.
+    """
+
+    def __init__(self, pattern: str, spaced: bool):
+        self.pattern, self.spaced = regex.compile(pattern), spaced
+        self.chunk = regex.compile(r"\s*\S+|\s+")
+
+    def runs(self, text: str) -> Iterator[tuple[list[str], list[str]]]:
+        """(chunks, then pieces that a space precedes), in order, a bounded number at a time."""
+        if not self.spaced:
+            found = (m.group() for m in self.pattern.finditer(text))
+            while run := list(islice(found, RUN)):
+                yield run, []
+            return
+        start, end = 0, 0
+        while end < len(text):
+            cut = _CUT.search(text, start + SEGMENT) if len(text) - start > SEGMENT else None
+            end = cut.start() + 1 if cut else len(text)
+            if _IRREGULAR.search(text[start + (start > 0) : end]):
+                yield self.chunk.findall(text[start:end]), []
+            else:
+                pieces = text[start:end].split(" ")
+                yield ([], pieces[1:]) if start else (pieces[:1], pieces[1:])
+            start = end
+
+    def words(self, chunk: str) -> list[str]:
+        return self.pattern.findall(chunk) if self.spaced else [chunk]
 
 
 def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -57,52 +185,169 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : ends[i]]] for i in range(n) if alive[i]]
 
 
+# The dictionary of folded words
+
+
+class Folded(NamedTuple):
+    """Ids by the hash of their word, sorted, with the first place of each hash prefix."""
+
+    keys: bytes
+    starts: bytes
+    ends: bytes
+    ids: bytes
+    bits: int
+
+    @staticmethod
+    def of(table: pa.Table) -> Folded:
+        keys = table.column("h").to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        lists = table.column("ids").combine_chunks().take(pa.array(order))
+        bits = max(1, len(keys).bit_length())
+        edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+        starts = np.r_[np.searchsorted(keys[order], edges), len(keys)].astype(np.uint32)
+        ends = np.cumsum(lists.value_lengths().to_numpy()).astype(np.uint64)
+        return Folded(keys[order].tobytes(), starts.tobytes(), ends.tobytes(), lists.flatten().to_numpy().astype(np.uint32).tobytes(), bits)
+
+
+def _count_batches(splitter: Splitter, ranks: dict[bytes, int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n) of the words that are no piece themselves and not too long to fold."""
+    plain, spaced = Counter(), Counter()
+
+    def counted() -> pa.RecordBatch:
+        words: Counter = Counter()
+        for lead, chunks in (("", plain), (" ", spaced)):
+            for chunk, n in chunks.items():
+                for word in splitter.words(lead + chunk):
+                    words[word] += n
+            chunks.clear()
+        kept = [w for w in words if (b := w.encode()) not in ranks and len(b) <= FOLD_BYTES]
+        return pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array([words[w] for w in kept], pa.int64())], ["word", "n"])
+
+    for batch in batches:
+        for text in batch.column("text"):
+            for chunks, pieces in splitter.runs(text.as_py()):
+                plain.update(chunks)
+                spaced.update(pieces)
+                if len(plain) + len(spaced) > COUNTED:
+                    yield counted()
+    yield counted()
+
+
+def distinct_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, spaced: bool) -> DataFrame:
+    """(word, n): the distinct words of the texts, without those that are pieces or longer than FOLD_BYTES."""
+    sent = docs.sparkSession.sparkContext.broadcast(ranks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _count_batches(Splitter(pattern, spaced), sent.value, batches)
+
+    counted = docs.select(text_of().alias("text")).mapInArrow(run, "word string, n long")
+    return counted.groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def fold(docs: DataFrame, ranks: dict[bytes, int], pattern: str, spaced: bool, limit: int | None = None) -> Folded | None:
+    """The distinct words of the corpus with their ids by ``fold_merges``, to be sent to the workers.
+
+    Their size grows with the corpus, so it is checked: only the most frequent words, by powers of two of their
+    number, whose entries are sure to fit in ``limit`` bytes (DICTIONARY_BYTES) are folded. Workers merge the others as they meet
+    them, with the same ids.
+    """
+    words = materialize(distinct_words(docs, ranks, pattern, spaced).withColumn("level", F.floor(F.log2("n"))))
+    size = F.lit(20) + 4 * F.octet_length("word")
+    levels = words.groupBy("level").agg(F.sum(size).alias("size"), F.count("*").alias("n")).orderBy(F.desc("level")).collect()
+    held, count, least = 0, 0, None
+    for r in levels:
+        if held + r["size"] > (DICTIONARY_BYTES if limit is None else limit):
+            break
+        held, count, least = held + r["size"], count + r["n"], r["level"]
+    found = None
+    if count:
+        # few bytes, much work for each: dealt out by number, not by size
+        chosen = words.where(F.col("level") >= least).repartition(max(1, -(-count // 20_000)), "word")
+        found = Folded.of(chosen.select(F.xxhash64("word").alias("h"), fold_merges(F.col("word"), ranks).cast("array<int>").alias("ids")).toArrow())
+    release(words)
+    return found
+
+
+# Whole texts
+
+
+class _Known(dict):
+    """The encoding of chunks met lately, made when it is missing."""
+
+    def __init__(self, codec: Codec, lead: str):
+        super().__init__()
+        self.codec, self.lead = codec, lead
+
+    def __missing__(self, chunk: str) -> tuple[bytes, bytes, bytes]:
+        made = self.codec.encoded(self.lead + chunk)
+        if len(self) >= CACHE_CHUNKS:
+            self.clear()
+        if len(chunk) <= FOLD_BYTES:
+            self[chunk] = made
+        return made
+
+
 class Codec:
-    """Encodes and decodes in one process; words that occurred lately are looked up."""
+    """Encodes and decodes in one process."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.pattern = ranks, regex.compile(pattern)
+    def __init__(self, ranks: dict[bytes, int], splitter: Splitter, folded: Folded | None):
+        self.ranks, self.splitter = ranks, splitter
         self.pieces = {i: p for p, i in ranks.items()}
-        self.cache: dict[str, list[int]] = {}
-
-    def words(self, text: str) -> Iterator[list[str]]:
-        found = (m.group() for m in self.pattern.finditer(text)) if len(text) > 1 << 20 else iter(self.pattern.findall(text))
-        while run := list(islice(found, RUN)):
-            yield run
-
-    def encode(self, text: str) -> Iterator[list[int]]:
-        """Ids, in runs of RUN words."""
-        for run in self.words(text):
-            if len(self.cache) > CACHE_WORDS:
-                self.cache.clear()
-            cache, out = self.cache, []
-            for word in run:
-                ids = cache.get(word)
-                if ids is None:
-                    ids = merge(word.encode(), self.ranks)
-                    if len(word) <= 64:
-                        cache[word] = ids
-                out += ids
-            yield out
+        self.plain, self.spaced = _Known(self, ""), _Known(self, " ")
+        if folded:
+            view = lambda x, kind: memoryview(x).cast(kind)
+            self.keys, self.starts, self.ends, self.ids = view(folded.keys, "Q"), view(folded.starts, "I"), view(folded.ends, "Q"), view(folded.ids, "I")
+        self.shift = 64 - folded.bits if folded else None
+
+    def looked_up(self, word: bytes) -> list[int] | None:
+        """The ids of a folded word: those with its hash whose pieces are its bytes."""
+        if self.shift is None:
+            return None
+        h = xxhash.xxh64_intdigest(word, 42)
+        slot = h >> self.shift
+        for k in range(self.starts[slot], self.starts[slot + 1]):
+            if self.keys[k] == h:
+                ids = self.ids[self.ends[k - 1] if k else 0 : self.ends[k]].tolist()
+                if self.decode(ids) == word:
+                    return ids
+        return None
+
+    def encoded(self, chunk: str) -> tuple[bytes, bytes, bytes]:
+        """The ids of a chunk as 32-bit numbers and as decimals after a space each, and the bytes that they decode to."""
+        ids: list[int] = []
+        for word in self.splitter.words(chunk):
+            said = word.encode()
+            if (r := self.ranks.get(said)) is not None:
+                ids.append(r)
+            else:
+                ids += self.looked_up(said) or merge(said, self.ranks)
+        return array("i", ids).tobytes(), "".join([f" {i}" for i in ids]).encode(), self.decode(ids)
+
+    def encode(self, text: str) -> Iterator[list[tuple[bytes, bytes, bytes]]]:
+        for chunks, pieces in self.splitter.runs(text):
+            yield [*map(self.plain.__getitem__, chunks), *map(self.spaced.__getitem__, pieces)]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
 
 
-@lru_cache(maxsize=2)
-def _codec(ranks: bytes, pattern: str) -> Codec:
-    return Codec({base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}, pattern)
+_codecs: dict[str, Codec] = {}
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, ids: bool = True, count: bool = False, digest: bool = False) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, pattern: str, ids: bool = True, count: bool = False, digest: bool = False, spaced: bool = False) -> DataFrame:
     """The rows of ``docs`` without text, with ``ids`` (array<int>), ``n_tokens``, or digests of ids and decoded bytes.
 
     ``vocabulary`` is a rank file on the driver; its bytes go to the workers, a bound set by the file. Each
-    match of ``pattern`` is encoded by itself; what no match covers is left out. A null text is empty and has no
-    ids. Long texts are encoded in runs of words, and digests are updated run by run. Repeated rows stay.
+    match of ``pattern`` is encoded by itself; what no match covers is left out. ``spaced`` promises that
+    ``pattern`` is of the kind that Splitter cuts at spaces. The distinct words of all texts are folded first
+    (``fold``) and looked up then; words too long or too rare for that are merged where they occur. A null text
+    is empty and has no ids. Long texts are encoded in runs, and digests are updated run by run. Repeated rows
+    stay; an empty table gives no rows; other columns stay unless they have a name of those added.
     """
     with open(vocabulary, "rb") as f:
-        ranks = docs.sparkSession.sparkContext.broadcast(f.read())
+        lines = f.read()
+    folded = fold(docs.select("text"), _ranks(lines), pattern, spaced)
+    sent, name = docs.sparkSession.sparkContext.broadcast((lines, folded)), uuid.uuid4().hex
     keep = [c for c in docs.columns if c not in ("text", "ids", "n_tokens", "ids_sha256", "decoded_sha256")]
     made = {"ids": "ids array<int>"} if ids else {}
     if count or digest:
@@ -112,24 +357,30 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, ids: bool = True, cou
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(ranks.value, pattern)
+        if name not in _codecs:
+            _codecs.clear()
+            _codecs[name] = Codec(_ranks(sent.value[0]), Splitter(pattern, spaced), sent.value[1])
+        codec = _codecs[name]
         for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
-            out: dict[str, list] = {c: [] for c in made}
+            sizes, held, said, read = [], [], [], []
             for text in batch.column("__text"):
-                n, said, read, every = 0, hashlib.sha256(), hashlib.sha256(), []
+                n, ids_hash, read_hash = 0, hashlib.sha256(), hashlib.sha256()
                 for part in codec.encode(text.as_py()):
+                    packed = b"".join([x[0] for x in part])
                     if digest:
-                        said.update((" " * (n > 0) + " ".join(map(str, part))).encode() if part else b"")
-                        read.update(codec.decode(part))
+                        decimals = b"".join([x[1] for x in part])
+                        ids_hash.update(decimals if n else decimals[1:])
+                        read_hash.update(b"".join([x[2] for x in part]))
                     if ids:
-                        every += part
-                    n += len(part)
-                row = {"ids": every, "n_tokens": n, "ids_sha256": said.hexdigest(), "decoded_sha256": read.hexdigest()}
-                for c, x in out.items():
-                    x.append(row[c])
-            types = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64()}
-            cols = [batch.column(c) for c in keep] + [pa.array(out[c], types.get(c, pa.string())) for c in made]
-            yield pa.RecordBatch.from_arrays(cols, [*keep, *made])
+                        held.append(packed)
+                    n += len(packed) // 4
+                sizes.append(n)
+                said.append(ids_hash.hexdigest())
+                read.append(read_hash.hexdigest())
+            columns = {"n_tokens": pa.array(sizes, pa.int64()), "ids_sha256": pa.array(said, pa.string()), "decoded_sha256": pa.array(read, pa.string())}
+            if ids:
+                columns["ids"] = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(np.frombuffer(b"".join(held), np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [columns[c] for c in made], [*keep, *made])
 
     return docs.select(*keep, text_of().alias("__text")).mapInArrow(run, ", ".join([*kinds, *made.values()]))
 
@@ -146,54 +397,3 @@ def decode(df: DataFrame, vocabulary: str) -> DataFrame:
         table[i] = piece.hex()
     pieces = F.from_json(F.lit(json.dumps(table)), "array<string>")
     return df.withColumn("decoded", F.unhex(F.array_join(F.transform("ids", lambda i: F.element_at(pieces, i + 1)), "")))
-
-
-# The same by Spark's own functions: for short tables. See the README for its cost on whole ones.
-
-
-def spark_pattern(pattern: str) -> str:
-    """``pattern`` for Spark, whose ``\\s`` means ASCII white space only."""
-    inside = regex.sub(r"(?<=\[\^)\\s", lambda m: _SPACE, pattern)
-    return inside.replace(r"\S", f"[^{_SPACE}]").replace(r"\s", f"[{_SPACE}]")
-
-
-def rank_table(ranks: dict[bytes, int], buckets: int = 1 << 15) -> Column:
-    """A literal rank map: an array of small maps by hash, folded into one constant by the optimizer."""
-    from zlib import crc32
-
-    table: list[dict[str, int]] = [{} for _ in range(buckets)]
-    for piece, i in ranks.items():
-        table[crc32(piece) % buckets][piece.hex().upper()] = i
-    return F.from_json(F.lit(json.dumps(table)), "array<map<string,int>>")
-
-
-def fold_merges(word: Column, table: Column, buckets: int = 1 << 15) -> Column:
-    """Ids of the bytes of ``word``: a fold that merges the leftmost pair of the lowest rank in each step."""
-    rank = lambda piece: F.try_element_at(F.get(table, (F.crc32(piece) % buckets).cast("int")), F.hex(piece))
-    n = F.octet_length(word)
-    bytes_ = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(word, i, F.lit(1)))
-
-    def step(parts: Column, _: Column) -> Column:
-        pairs = F.filter(
-            F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.struct(rank(F.concat(F.get(parts, i - 1), F.coalesce(F.get(parts, i), F.lit(b"")))).alias("r"), i.alias("i"))),
-            lambda p: p["r"].isNotNull() & (p["i"] < F.size(parts)),
-        )
-        at = F.array_min(pairs)["i"]
-        joined = F.concat(F.slice(parts, F.lit(1), at - 1), F.array(F.concat(F.get(parts, at - 1), F.get(parts, at))), F.slice(parts, at + 2, F.size(parts)))
-        return F.when(at.isNull(), parts).otherwise(joined)
-
-    pieces = F.aggregate(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), bytes_, step)
-    return F.transform(pieces, rank)
-
-
-def encode_by_fold(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """(doc_id, tag, ids) through distinct words: each is folded once, then joined to its places in the texts."""
-    from .common import text_tag
-
-    table = rank_table(load_ranks(vocabulary))
-    places = docs.select("doc_id", text_tag().alias("tag"), text_of().alias("text")).dropDuplicates(["doc_id", "tag"])
-    places = places.select("doc_id", "tag", F.posexplode_outer(F.regexp_extract_all("text", F.lit(spark_pattern(pattern)), F.lit(0))).alias("at", "word"))
-    words = places.select("word").where("word is not null").distinct()
-    words = words.select("word", F.encode("word", "UTF-8").alias("bytes")).select("word", fold_merges(F.col("bytes"), table).alias("piece_ids"))
-    joined = places.join(words, "word", "left").groupBy("doc_id", "tag")
-    return joined.agg(F.sort_array(F.collect_list(F.struct("at", "piece_ids"))).alias("all")).select("doc_id", "tag", F.flatten(F.transform("all", lambda x: F.coalesce(x["piece_ids"], F.array().cast("array<int>")))).alias("ids"))

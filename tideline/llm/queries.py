@@ -63,7 +63,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=False, digest=True)
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=False, digest=True, spaced=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
