@@ -532,7 +532,10 @@ def slow_repeats(rows):
     return sorted(out)
 
 
-def test_repeats(spark, monkeypatch):
+@pytest.mark.parametrize("crowd,common", [(4096, 1000), (1, 2)])
+def test_repeats(spark, monkeypatch, crowd, common):
+    monkeypatch.setattr(repeats, "CROWD", crowd)
+    monkeypatch.setattr(repeats, "COMMON", common)
     rng = random.Random(7)
     names = [f"n{i}" for i in range(500)]
     passages = [prose(rng, 60, names) for _ in range(6)]
@@ -546,6 +549,22 @@ def test_repeats(spark, monkeypatch):
     assert repeats.remove_repeats(documents(spark, [])).count() == 0
 
 
+def test_repeated_suffixes(monkeypatch):
+    rng = random.Random(11)
+    monkeypatch.setattr(repeats, "LENGTH", 16)
+    phrases = [b"".join(rng.choice([b"abcd", b"abce", b"abc"]) for _ in range(12))[: rng.randint(16, 40)] for _ in range(300)]
+    phrases = [p for p in phrases if len(p) >= 16]
+    phrases += [p[:20] for p in phrases[:30] if len(p) >= 20] + [b"a" * 30]
+    leads = np.array([rng.randint(len(p) - 16, 30) for p in phrases])
+    groups = np.array([i % 5 for i in range(len(phrases))])
+    met = {}
+    for i, p in enumerate(phrases):
+        for j in range(len(p) - 15):
+            met.setdefault((groups[i], leads[i] - j, p[j : j + 16]), []).append((i, j))
+    want = sorted(x for some in met.values() if len(some) > 1 for x in some)
+    assert sorted(zip(*(x.tolist() for x in repeats.repeated_suffixes(phrases, leads, groups)))) == want and want
+
+
 def test_phrases_partition_the_windows(monkeypatch):
     rng = random.Random(2)
     text = (prose(rng, 300) * 2).encode()
@@ -602,7 +621,7 @@ def test_bpe_folds_every_word(spark):
     """The fold alone against the library, and the dictionary made of it."""
     ranks = bpe.load_ranks(VOCABULARY)
     splitter = bpe.Splitter(public_tokenizers.PATTERN, True)
-    words = sorted({w for _, t in hard_texts() for run in splitter.runs(t or "") for lead, some in zip(("", " "), run) for x in some for w in splitter.words(lead + x)})
+    words = sorted({w for _, t in hard_texts() for run in splitter.runs(t or "") for lead, some in zip(("", " "), run) for x in some for w in splitter.words(lead, x)})
     words += ["!!", "!!!!", "thererhly", " straßenbahnhaltestelle", "0" * 40, "\0\0", " \u200b\u200b", "aa" * 20]
     encoding = reference_encoding()
     kept = [w for w in words if len(w.encode()) <= bpe.FOLD_BYTES and w.encode() not in ranks]
@@ -623,7 +642,7 @@ def test_bpe_splits_long_texts(monkeypatch):
     for size in (1 << 20, 7, 64):
         monkeypatch.setattr(bpe, "SEGMENT", size)
         for part in (text, text[-900:], "x", " ", " x", ""):
-            got = [w for run in splitter.runs(part) for lead, some in zip(("", " "), run) for x in some for w in splitter.words(lead + x)]
+            got = [w for run in splitter.runs(part) for lead, some in zip(("", " "), run) for x in some for w in splitter.words(lead, x)]
             assert got == regex.findall(public_tokenizers.PATTERN, part)
     assert want
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import heapq
 import json
@@ -10,13 +11,14 @@ import re
 import uuid
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice
 from struct import pack
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import materialize, release, text_of
 
 #: Chunks that a worker process remembers of each kind; beyond that it forgets them and begins again.
-CACHE_CHUNKS = 150_000
+CACHE_CHUNKS = 400_000
 #: Distinct chunks that a task counts before it passes their words on.
 COUNTED = 400_000
 #: Characters of a text, words of a text of other patterns, and rows of a result that are held at a time.
@@ -33,11 +35,16 @@ SEGMENT, RUN, ROWS = 1 << 20, 100_000, 512
 #: Words of at most so many bytes are folded; a fold takes time by the square of them.
 FOLD_BYTES = 64
 #: Bytes of the folded words that workers are sent at most, those of the most frequent words.
-DICTIONARY_BYTES = 128 << 20
+DICTIONARY_BYTES = 64 << 20
 #: Bits of an id in a packed pair: vocabularies may have 2**20 ids.
 ID_BITS = 20
 
+#: Marks that are words of their own after letters.
+MARKS = frozenset(".,;:!?")
+
 _IRREGULAR = re.compile(r"\s\s|\A\s|\s\Z")
+#: White space other than the space.
+_ODD = [chr(c) for c in range(0x3001) if chr(c).isspace() and c != 0x20]
 _CUT = re.compile(r"\S \S")
 
 
@@ -67,7 +74,7 @@ def pair_table(ranks: dict[bytes, int]) -> list[int]:
                 pairs.append(a << 2 * ID_BITS | b << ID_BITS | r)
     if ranks and max(ranks.values()) >> ID_BITS:
         raise ValueError(f"ids must be below {1 << ID_BITS}")
-    size = 1 << max(4, (len(pairs) * 5 // 2).bit_length())
+    size = 1 << max(4, (2 * len(pairs)).bit_length())
     while (table := _placed(pairs, size)) is None:
         size *= 2
     return table
@@ -103,8 +110,9 @@ def fold_merges(word: Column, ranks: dict[bytes, int]) -> Column:
     table = F.from_json(F.lit(json.dumps(pairs)), "array<bigint>")
     singles = F.from_json(F.lit(json.dumps([ranks.get(bytes([b])) for b in range(256)])), "array<bigint>")
     mask, low = F.lit(len(pairs) - 1), F.lit((1 << ID_BITS) - 1)
+    letters = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
 
-    def rank(a: Column, b: Column) -> Column:
+    def rank(table: Column, a: Column, b: Column) -> Column:
         key = F.shiftleft(a, ID_BITS).bitwiseOR(b)
         h = F.xxhash64(key)
         one = F.get(table, h.bitwiseAND(mask).cast("int"))
@@ -112,15 +120,21 @@ def fold_merges(word: Column, ranks: dict[bytes, int]) -> Column:
         hit = lambda e: F.shiftright(e, ID_BITS) == key
         return F.when(hit(one), one.bitwiseAND(low)).when(hit(two), two.bitwiseAND(low))
 
-    def step(ids: Column, _: Column) -> Column:
-        best = F.array_min(F.transform(ids, lambda a, i: F.shiftleft(rank(a, F.get(ids, i + 1)), 16).bitwiseOR(i)))
+    def step(table: Column, ids: Column) -> Column:
+        best = F.array_min(F.transform(ids, lambda a, i: F.shiftleft(rank(table, a, F.get(ids, i + 1)), 16).bitwiseOR(i)))
         at = lambda m: m.bitwiseAND(F.lit(0xFFFF)).cast("int")
         joined = lambda m: F.concat(F.slice(ids, F.lit(1), at(m)), F.array(F.shiftright(m, 16)), F.slice(ids, at(m) + 3, F.size(ids)))
-        return F.get(F.transform(F.array(best), lambda m: F.when(m.isNull(), ids).otherwise(joined(m))), F.lit(0))
+        return _bound(best, lambda m: F.when(m.isNull(), ids).otherwise(joined(m)))
 
-    letters = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
+    steps = F.sequence(F.lit(2), F.greatest(F.octet_length(word), F.lit(2)))
     first = F.transform(letters, lambda c: F.get(singles, F.ascii(c)))
-    return F.aggregate(F.sequence(F.lit(2), F.greatest(F.octet_length(word), F.lit(2))), first, step)
+    # the table is bound once: each mention of the literal would be a copy in every plan
+    return _bound(table, lambda t: F.aggregate(steps, first, lambda ids, _: step(t, ids)))
+
+
+def _bound(x: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(x)`` with ``x`` evaluated once."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
 
 
 # Texts as words
@@ -130,7 +144,8 @@ class Splitter:
     """Cuts texts into chunks whose words do not depend on what surrounds them.
 
     With ``spaced`` the pattern's words never reach across the place before a single space that has other
-    characters than white space on both sides; texts are cut there, which costs far less than matching words.
+    characters than white space on both sides; texts are cut there, which costs far less than matching words. Letters
+    alone, after a space or not, are one word then, and a mark of MARKS that ends a chunk is a word of its own.
     """
 
     def __init__(self, pattern: str, spaced: bool):
@@ -148,15 +163,26 @@ class Splitter:
         while end < len(text):
             cut = _CUT.search(text, start + SEGMENT) if len(text) - start > SEGMENT else None
             end = cut.start() + 1 if cut else len(text)
-            if _IRREGULAR.search(text[start + (start > 0) : end]):
+            part = text[start + (start > 0) : end]
+            space = [" ", *(x for x in _ODD if x in part)]
+            # a search for each pair is faster than the expression, while there are few
+            perhaps = len(space) > 2 or part[0].isspace() or part[-1].isspace() or any(a + b in part for a in space for b in space)
+            if perhaps and _IRREGULAR.search(part):
                 yield self.chunk.findall(text[start:end]), []
             else:
-                pieces = text[start:end].split(" ")
-                yield ([], pieces[1:]) if start else (pieces[:1], pieces[1:])
+                pieces = part.split(" ")
+                yield ([], pieces) if start else (pieces[:1], pieces[1:])
             start = end
 
-    def words(self, chunk: str) -> list[str]:
-        return self.pattern.findall(chunk) if self.spaced else [chunk]
+    def words(self, lead: str, chunk: str) -> list[str]:
+        """The words of a chunk that ``lead``, a space or nothing, precedes."""
+        if not self.spaced:
+            return [chunk]
+        if chunk.isalpha():
+            return [lead + chunk]
+        if chunk[-1:] in MARKS and chunk[:-1].isalpha():
+            return [lead + chunk[:-1], chunk[-1]]
+        return self.pattern.findall(lead + chunk)
 
 
 def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -189,24 +215,29 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Folded(NamedTuple):
-    """Ids by the hash of their word, sorted, with the first place of each hash prefix."""
+    """Words and their ids by the hash of the word, sorted, with the first place of each hash prefix."""
 
     keys: bytes
     starts: bytes
-    ends: bytes
-    ids: bytes
+    words: tuple[bytes, bytes]  # ends, then the bytes themselves
+    ids: tuple[bytes, bytes]
     bits: int
 
     @staticmethod
     def of(table: pa.Table) -> Folded:
         keys = table.column("h").to_numpy().view(np.uint64)
         order = np.argsort(keys)
-        lists = table.column("ids").combine_chunks().take(pa.array(order))
+        keys, table = keys[order], table.select(["word", "ids"]).take(pa.array(order)).combine_chunks()
         bits = max(1, len(keys).bit_length())
         edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
-        starts = np.r_[np.searchsorted(keys[order], edges), len(keys)].astype(np.uint32)
-        ends = np.cumsum(lists.value_lengths().to_numpy()).astype(np.uint64)
-        return Folded(keys[order].tobytes(), starts.tobytes(), ends.tobytes(), lists.flatten().to_numpy().astype(np.uint32).tobytes(), bits)
+        starts = np.r_[np.searchsorted(keys, edges), len(keys)].astype(np.uint32)
+        words, lists = table.column("word").combine_chunks().cast(pa.binary()), table.column("ids").combine_chunks()
+        ends = lambda x: np.cumsum(x).astype(np.uint32).tobytes()
+        sizes = pc.binary_length(words).to_numpy()
+        return Folded(
+            keys.tobytes(), starts.tobytes(), (ends(sizes), b"".join(words.to_pylist())),
+            (ends(lists.value_lengths().to_numpy()), lists.flatten().to_numpy().astype(np.uint32).tobytes()), bits,
+        )
 
 
 def _count_batches(splitter: Splitter, ranks: dict[bytes, int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,14 +245,14 @@ def _count_batches(splitter: Splitter, ranks: dict[bytes, int], batches: Iterato
     plain, spaced = Counter(), Counter()
 
     def counted() -> pa.RecordBatch:
-        words: Counter = Counter()
+        words: dict[str, int] = {}
         for lead, chunks in (("", plain), (" ", spaced)):
             for chunk, n in chunks.items():
-                for word in splitter.words(lead + chunk):
-                    words[word] += n
+                for word in splitter.words(lead, chunk):
+                    words[word] = words.get(word, 0) + n
             chunks.clear()
         kept = [w for w in words if (b := w.encode()) not in ranks and len(b) <= FOLD_BYTES]
-        return pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array([words[w] for w in kept], pa.int64())], ["word", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array(list(map(words.__getitem__, kept)), pa.int64())], ["word", "n"])
 
     for batch in batches:
         for text in batch.column("text"):
@@ -252,7 +283,7 @@ def fold(docs: DataFrame, ranks: dict[bytes, int], pattern: str, spaced: bool, l
     them, with the same ids.
     """
     words = materialize(distinct_words(docs, ranks, pattern, spaced).withColumn("level", F.floor(F.log2("n"))))
-    size = F.lit(20) + 4 * F.octet_length("word")
+    size = F.lit(24) + 5 * F.octet_length("word")
     levels = words.groupBy("level").agg(F.sum(size).alias("size"), F.count("*").alias("n")).orderBy(F.desc("level")).collect()
     held, count, least = 0, 0, None
     for r in levels:
@@ -263,7 +294,7 @@ def fold(docs: DataFrame, ranks: dict[bytes, int], pattern: str, spaced: bool, l
     if count:
         # few bytes, much work for each: dealt out by number, not by size
         chosen = words.where(F.col("level") >= least).repartition(max(1, -(-count // 20_000)), "word")
-        found = Folded.of(chosen.select(F.xxhash64("word").alias("h"), fold_merges(F.col("word"), ranks).cast("array<int>").alias("ids")).toArrow())
+        found = Folded.of(chosen.select("word", F.xxhash64("word").alias("h"), fold_merges(F.col("word"), ranks).cast("array<int>").alias("ids")).toArrow())
     release(words)
     return found
 
@@ -278,8 +309,8 @@ class _Known(dict):
         super().__init__()
         self.codec, self.lead = codec, lead
 
-    def __missing__(self, chunk: str) -> tuple[bytes, bytes, bytes]:
-        made = self.codec.encoded(self.lead + chunk)
+    def __missing__(self, chunk: str) -> tuple[bytes, ...]:
+        made = self.codec.encoded(self.lead, chunk)
         if len(self) >= CACHE_CHUNKS:
             self.clear()
         if len(chunk) <= FOLD_BYTES:
@@ -288,47 +319,49 @@ class _Known(dict):
 
 
 class Codec:
-    """Encodes and decodes in one process."""
+    """Encodes and decodes in one process. Of each chunk it gives the ids as decimals, each after a space, and the bytes
+    that they decode to, if ``digest``; and the ids as 32-bit numbers, if ``packed``.
+    """
 
-    def __init__(self, ranks: dict[bytes, int], splitter: Splitter, folded: Folded | None):
-        self.ranks, self.splitter = ranks, splitter
+    def __init__(self, ranks: dict[bytes, int], splitter: Splitter, folded: Folded | None, digest: bool = True, packed: bool = True):
+        self.ranks, self.splitter, self.digest, self.packed = ranks, splitter, digest, packed
         self.pieces = {i: p for p, i in ranks.items()}
+        self.decimals = {i: b" %d" % i for i in self.pieces}
         self.plain, self.spaced = _Known(self, ""), _Known(self, " ")
+        self.shift = None
         if folded:
             view = lambda x, kind: memoryview(x).cast(kind)
-            self.keys, self.starts, self.ends, self.ids = view(folded.keys, "Q"), view(folded.starts, "I"), view(folded.ends, "Q"), view(folded.ids, "I")
-        self.shift = 64 - folded.bits if folded else None
+            self.keys, self.starts, self.shift = view(folded.keys, "Q"), view(folded.starts, "I"), 64 - folded.bits
+            self.word_ends, self.words, self.id_ends, self.ids = view(folded.words[0], "I"), folded.words[1], view(folded.ids[0], "I"), view(folded.ids[1], "I")
 
     def looked_up(self, word: bytes) -> list[int] | None:
-        """The ids of a folded word: those with its hash whose pieces are its bytes."""
+        """The ids of a folded word."""
         if self.shift is None:
             return None
         h = xxhash.xxh64_intdigest(word, 42)
         slot = h >> self.shift
         for k in range(self.starts[slot], self.starts[slot + 1]):
-            if self.keys[k] == h:
-                ids = self.ids[self.ends[k - 1] if k else 0 : self.ends[k]].tolist()
-                if self.decode(ids) == word:
-                    return ids
+            if self.keys[k] == h and self.words[self.word_ends[k] - len(word) : self.word_ends[k]] == word:
+                return self.ids[self.id_ends[k - 1] if k else 0 : self.id_ends[k]].tolist()
         return None
 
-    def encoded(self, chunk: str) -> tuple[bytes, bytes, bytes]:
-        """The ids of a chunk as 32-bit numbers and as decimals after a space each, and the bytes that they decode to."""
+    def encoded(self, lead: str, chunk: str) -> tuple[bytes, ...]:
         ids: list[int] = []
-        for word in self.splitter.words(chunk):
+        for word in self.splitter.words(lead, chunk):
             said = word.encode()
             if (r := self.ranks.get(said)) is not None:
                 ids.append(r)
             else:
                 ids += self.looked_up(said) or merge(said, self.ranks)
-        return array("i", ids).tobytes(), "".join([f" {i}" for i in ids]).encode(), self.decode(ids)
+        out = (b"".join([self.decimals[i] for i in ids]), self.decode(ids)) if self.digest else ()
+        return (*out, array("i", ids).tobytes()) if self.packed else out
 
-    def encode(self, text: str) -> Iterator[list[tuple[bytes, bytes, bytes]]]:
+    def encode(self, text: str) -> Iterator[list[tuple[bytes, ...]]]:
         for chunks, pieces in self.splitter.runs(text):
             yield [*map(self.plain.__getitem__, chunks), *map(self.spaced.__getitem__, pieces)]
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, ids))
+        return b"".join([self.pieces[i] for i in ids])
 
 
 _codecs: dict[str, Codec] = {}
@@ -354,26 +387,29 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, ids: bool = True, cou
         made["n_tokens"] = "n_tokens long"
     if digest:
         made |= {c: f"{c} string" for c in ("ids_sha256", "decoded_sha256")}
+    packed = ids or not digest
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _codecs:
             _codecs.clear()
-            _codecs[name] = Codec(_ranks(sent.value[0]), Splitter(pattern, spaced), sent.value[1])
+            _codecs[name] = Codec(_ranks(sent.value[0]), Splitter(pattern, spaced), sent.value[1], digest, packed)
         codec = _codecs[name]
+        gc.disable()  # it would look through the remembered chunks again and again; none of them is in a cycle
         for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             sizes, held, said, read = [], [], [], []
             for text in batch.column("__text"):
                 n, ids_hash, read_hash = 0, hashlib.sha256(), hashlib.sha256()
                 for part in codec.encode(text.as_py()):
-                    packed = b"".join([x[0] for x in part])
                     if digest:
-                        decimals = b"".join([x[1] for x in part])
+                        decimals = b"".join([x[0] for x in part])
                         ids_hash.update(decimals if n else decimals[1:])
-                        read_hash.update(b"".join([x[2] for x in part]))
-                    if ids:
-                        held.append(packed)
-                    n += len(packed) // 4
+                        read_hash.update(b"".join([x[1] for x in part]))
+                    if packed:
+                        numbers = b"".join([x[-1] for x in part])
+                        if ids:
+                            held.append(numbers)
+                    n += len(numbers) // 4 if packed else decimals.count(b" ")
                 sizes.append(n)
                 said.append(ids_hash.hexdigest())
                 read.append(read_hash.hexdigest())
