@@ -1,4 +1,4 @@
-"""Exact removal of repeated 200-byte strings through a prefix-free parse of the corpus."""
+"""Exact removal of repeated 200-byte strings through a prefix-free parse of the corpus and its dictionary's suffix array."""
 
 from __future__ import annotations
 
@@ -11,12 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release, text_of, text_tag
+from .common import checked_broadcast, materialize, release, text_of, text_tag
 
 #: Bytes of a repeated string, and of the rolling hash whose minima trigger phrases.
 LENGTH, GRAM = 200, 32
-#: Windows of a phrase that are compared together before they are compared one by one.
-BLOCK = 16
+#: Phrases of one trigger that are sorted in one task at most; windows of more are dealt out by their hashes.
+CROWD = 4096
+#: Phrases that occur more often are found by a broadcast of them, if its size allows, as no task should hold all their places.
+COMMON = 1000
+#: Bytes of phrases that are sorted together.
+SORTED = 1 << 22
 _CHUNK = 1 << 19
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -148,43 +152,131 @@ def parse(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_parse_batches, f"doc_id {kind}, tag long, start int, windows int, lead int, gram long, phrase long")
 
 
-def _blocks(lead: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The blocks of a phrase by distance of its windows from the trigger, and the first and last window of each."""
-    k = np.arange((lead - n + 1) // BLOCK, lead // BLOCK + 1)
-    return k, lead - np.minimum(lead, BLOCK * k + BLOCK - 1), lead - np.maximum(lead - n + 1, BLOCK * k)
+def _phrase_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of each given phrase."""
+    names = ["gram", "start", "lead", "alone", "bytes"]
+    for batch in batches:
+        at, out, held = [], [[] for _ in names], 0
+        parts = batch.column("parts").to_pylist()
 
+        def rows() -> pa.RecordBatch:
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
+            keys = [batch.column(c).take(pa.array(at, pa.int64())) for c in ("doc_id", "tag")]
+            return pa.RecordBatch.from_arrays([*keys, *map(pa.array, out, kinds)], ["doc_id", "tag", *names])
 
-def _block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each block of each given phrase the hash of what its windows have in common, and of all their bytes."""
-    for batch in batches:
-        parts, out = batch.column("parts").to_pylist(), _Rows(batch, ["start", "windows", "gram", "phrase", "alone", "block", "core", "whole"])
         for i, text in enumerate(_rows(batch)):
-            data = np.frombuffer(text, np.uint8)
             for x in parts[i]:
-                start, n, lead = x["start"], x["windows"], x["lead"]
-                rolling = Rolling(data[start : start + n + LENGTH - 1])
-                k, first, last = _blocks(lead, n)
-                with np.errstate(over="ignore"):
-                    core = _mix(rolling.at(lead - BLOCK * k, lead - BLOCK * k - BLOCK + 1 + LENGTH))
-                    whole = _mix(_mix(rolling.at(first, last + LENGTH)) + (first - lead + LENGTH).astype(_U) * _U(512) + (last - first).astype(_U))
-                full = lambda v, kind: np.full(len(k), v, kind)
-                yield from out.add(i, (start + first).astype(np.int32), (last - first + 1).astype(np.int32), full(x["gram"], np.int64), full(x["phrase"], np.int64), full(x["alone"], bool), k.astype(np.int32), core, whole)
-        yield from out.rest()
+                data = text[x["start"] : x["start"] + x["windows"] + LENGTH - 1]
+                at.append(i)
+                for column, v in zip(out, (x["gram"], x["start"], x["lead"], x["alone"], data)):
+                    column.append(v)
+                held += len(data)
+            if held > SORTED:
+                yield rows()
+                at, out, held = [], [[] for _ in names], 0
+        yield rows()
+
+
+def repeated_suffixes(phrases: list[bytes], leads: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(phrase, window) of each window that is equal to one of another phrase of its group, with the same lead.
+
+    The suffixes of the phrases are sorted by group, by distance from the trigger and by their bytes, eight at a
+    time; those that are alone after some bytes leave the order, and those that agree on LENGTH bytes are left.
+    """
+    data = np.frombuffer(b"".join(phrases) + bytes(8), np.uint8)
+    words = np.zeros(len(data) - 7, _U)
+    for i in range(8):
+        words |= data[i : i + len(words)].astype(_U) << _U(56 - 8 * i)
+    sizes = np.array([len(x) for x in phrases], np.int64)
+    windows = sizes - LENGTH + 1
+    starts = np.cumsum(sizes) - sizes
+    phrase = np.repeat(np.arange(len(phrases)), windows)
+    window = np.arange(len(phrase)) - np.repeat(np.cumsum(windows) - windows, windows)
+    at = starts[phrase] + window
+    kind = groups[phrase].astype(np.int64) * (LENGTH + 1) + leads[phrase] - window  # leads are below LENGTH
+    for k in range(LENGTH // 8):
+        word = words[at + 8 * k]
+        order = np.lexsort((word, kind))
+        kind, word, phrase, window, at = (x[order] for x in (kind, word, phrase, window, at))
+        new = np.r_[True, (kind[1:] != kind[:-1]) | (word[1:] != word[:-1])][: len(kind)]
+        kind = np.cumsum(new)
+        kept = ~(new & np.r_[new[1:], True][: len(new)])
+        kind, phrase, window, at = (x[kept] for x in (kind, phrase, window, at))
+        if not len(kind):
+            break
+    return phrase, window
+
+
+def _suffix_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, tag, start, end) of the repeated windows of phrases that occur once; the rows come sorted by gram."""
+    held: list[pa.RecordBatch] = []
+
+    def sort(rows: pa.RecordBatch) -> pa.RecordBatch:
+        grams = rows.column("gram").to_numpy()
+        groups = np.cumsum(np.r_[True, grams[1:] != grams[:-1]])
+        bytes_ = [x.as_buffer().to_pybytes() for x in rows.column("bytes")]
+        phrase, window = repeated_suffixes(bytes_, rows.column("lead").to_numpy(), groups)
+        kept = rows.column("alone").to_numpy(zero_copy_only=False)[phrase]
+        order = np.lexsort((window[kept], phrase[kept]))
+        phrase, window = phrase[kept][order], window[kept][order]
+        # windows that follow one another are one interval
+        first = np.r_[True, (phrase[1:] != phrase[:-1]) | (window[1:] != window[:-1] + 1)][: len(phrase)]
+        last = np.r_[first[1:], True][: len(phrase)]
+        of, from_ = pa.array(phrase[first]), rows.column("start").to_numpy()[phrase[first]].astype(np.int64)
+        columns = [rows.column(c).take(of) for c in ("doc_id", "tag")]
+        ends = from_ + window[last] + LENGTH
+        return pa.RecordBatch.from_arrays([*columns, pa.array(from_ + window[first], pa.int32()), pa.array(ends, pa.int32())], ["doc_id", "tag", "start", "end"])
+
+    for batch in batches:
+        for k in range(0, batch.num_rows, CROWD):
+            held.append(batch.slice(k, CROWD))
+            if sum(b.nbytes for b in held) < SORTED:
+                continue
+            rows = pa.concat_batches(held)
+            grams = rows.column("gram").to_numpy()
+            whole = int(np.searchsorted(grams, grams[-1]))  # the last trigger's phrases may go on
+            if whole:
+                yield sort(rows.slice(0, whole))
+            held = [rows.slice(whole)]
+    if held and sum(b.num_rows for b in held):
+        yield sort(pa.concat_batches(held))
 
 
 def _window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The hash of each window of each given block."""
+    """Two hashes of each window of each given phrase; those that phrases of a batch share are known to be repeated
+    (``known``) and come once more, as ``known`` without a place, to be met by other batches' windows.
+    """
     for batch in batches:
-        parts, out = batch.column("parts").to_pylist(), _Rows(batch, ["start", "gram", "phrase", "alone", "window"])
+        parts, out = batch.column("parts").to_pylist(), _Rows(batch, ["start", "alone", "phrase", "one", "two"], 1 << 62)
         for i, text in enumerate(_rows(batch)):
             data = np.frombuffer(text, np.uint8)
             for x in parts[i]:
                 start, n = x["start"], x["windows"]
                 at = np.arange(n)
+                rolling = Rolling(data[start : start + n + LENGTH - 1])
                 with np.errstate(over="ignore"):
-                    window = _mix(Rolling(data[start : start + n + LENGTH - 1]).at(at, at + LENGTH))
-                yield from out.add(i, (start + at).astype(np.int32), np.full(n, x["gram"], np.int64), np.full(n, x["phrase"], np.int64), np.full(n, x["alone"]), window)
-        yield from out.rest()
+                    one = _mix(rolling.at(at, at + LENGTH) + _U(x["gram"] % (1 << 64)))
+                    # a hash of its two halves, which no sum of the first tells
+                    two = _mix(_mix(rolling.at(at, at + LENGTH // 2)) * _U(_BASE) + rolling.at(at + LENGTH // 2, at + LENGTH))
+                full = lambda v, kind: np.full(n, v, kind)
+                list(out.add(i, (start + at).astype(np.int32), full(x["alone"], bool), full(x["phrase"], np.int64), one, two))
+        for rows in out.rest():
+            one, two, phrase = (rows.column(c).to_numpy() for c in ("one", "two", "phrase"))
+            order = np.lexsort((phrase, two, one))
+            new = np.r_[True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])][: len(order)]
+            kind = np.cumsum(new) - 1
+            low = phrase[order][np.flatnonzero(new)]
+            high = phrase[order][np.r_[np.flatnonzero(new)[1:] - 1, len(order) - 1]]
+            known = np.empty(len(order), bool)
+            known[order] = (low != high)[kind]
+            first = np.zeros(len(order), bool)
+            first[order] = new
+            alone = rows.column("alone").to_numpy(zero_copy_only=False)
+            # a known window says so once for its place and once for all batches; others are rows to be decided
+            kept = np.flatnonzero((known & alone) | first | (~known & alone))
+            picked = rows.take(pa.array(kept))
+            columns = [picked.column(c) for c in ("doc_id", "tag", "start", "alone", "phrase", "one", "two")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(known[kept]), pa.array(first[kept])], ["doc_id", "tag", "start", "alone", "phrase", "one", "two", "known", "first"])
 
 
 def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,60 +321,61 @@ def _with_text(docs: DataFrame, parts: DataFrame, part, run, schema: str) -> Dat
     return texts.select("doc_id", "tag", "text", "parts").mapInArrow(run, f"doc_id {kind}, tag long, {schema}")
 
 
-def _shared(rows: DataFrame, *keys: str) -> DataFrame:
-    """The keys that rows of several phrases have."""
-    met = rows.groupBy(*keys).agg(F.min("phrase").alias("low"), F.max("phrase").alias("high"))
-    return met.where("low <> high").select(*keys)
-
-
 def repeated_intervals(docs: DataFrame) -> DataFrame:
     """(doc_id, tag, starts, ends): byte intervals covered by LENGTH-byte strings that start elsewhere too.
 
-    1. Parse: phrases go to the shared folder as hashes, without text.
-    2. A trigger with one phrase that occurs again: all windows of its occurrences are repeated.
-    3. A trigger with several phrases, the dictionary: those that occur again are repeated throughout. One that
-       occurs once may share windows with the trigger's other phrases. Its windows are taken in blocks by
-       distance from the trigger. If no other phrase has the bytes common to a block's windows, none of them is
-       repeated; if another has all of the block's bytes, all are; else they are compared one by one.
-
-    Equality is that of 64-bit hashes together with the trigger's 64-bit hash.
+    1. Parse: each window lies in one phrase, and equal windows lie at equal distance from equal triggers. Phrases
+       go to the shared folder as hashes, without text.
+    2. The dictionary: distinct phrases and how often the parse has them. All windows of one that occurs again are
+       repeated.
+    3. One that occurs once may share windows with other phrases of its trigger. The suffixes of a trigger's
+       phrases are sorted by their bytes; neighbours that agree on LENGTH bytes are repeated. Phrases overlap by
+       LENGTH - 1 bytes, so no suffix needs to go on into the phrases that follow in the parse: in the corpus's order a
+       suffix of the dictionary stands for as many places as its phrase has.
+    4. A trigger of more than CROWD phrases is too much for a task. Its windows are dealt out by 128 bits of hashes.
+
+    Phrases are told apart by their 64-bit hashes together with those of their triggers.
     """
     phrases = materialize(parse(docs))
-    triggers = phrases.groupBy("gram").agg(F.count("*").alias("n"), F.min("phrase").alias("low"), F.max("phrase").alias("high"))
-    triggers = materialize(triggers.where("n > 1").select("gram", (F.col("low") != F.col("high")).alias("mixed")))
-    again = materialize(phrases.join(triggers, "gram"))
-    release(phrases, triggers)
-    end = (F.col("start") + F.col("windows") + LENGTH - 1).alias("end")
-    found = [again.where("not mixed").select("doc_id", "tag", "start", end)]
-
-    mixed = again.where("mixed")
     place = F.struct("doc_id", "tag", "start", "windows", "lead")
-    dictionary = materialize(mixed.groupBy("gram", "phrase").agg(F.count("*").alias("n"), F.min(place).alias("first")).select("gram", "phrase", "n", "first.*"))
-    twice = mixed.join(dictionary.where("n > 1").select("gram", "phrase"), ["gram", "phrase"], "left_semi")
-    found.append(twice.select("doc_id", "tag", "start", end))
-
+    counted = materialize(phrases.groupBy("gram", "phrase").agg(F.count("*").alias("n"), F.min(place).alias("first")).select("gram", "phrase", "n", "first.*"))
+    found = [_places_of(phrases, counted.where("n > 1"))]
+
+    # only triggers of several phrases have something to compare; those of one are most of all
+    mixed = materialize(counted.groupBy("gram").agg(F.count("*").alias("phrases")).where("phrases > 1"))
+    crowded = checked_broadcast(mixed.where(F.col("phrases") > CROWD))
+    sparse = counted.join(crowded.select("gram"), "gram", "left_anti").join(mixed.where(F.col("phrases") <= CROWD), "gram")
+    dictionary = materialize(sparse.unionByName(counted.join(crowded, "gram")))
     part = F.struct("gram", "phrase", "start", "windows", "lead", (F.col("n") == 1).alias("alone"))
-    blocks = materialize(_with_text(docs, dictionary, part, _block_batches, "start int, windows int, gram long, phrase long, alone boolean, block int, core long, whole long"))
-    release(dictionary.limit(0))
-    core = ["gram", "block", "core"]
-    live = materialize(blocks.join(_shared(blocks, *core), core, "left_semi"))
-    release(blocks)
-    wholes = materialize(_shared(live, "gram", "whole"))
-    alone = live.where("alone")
-    found.append(alone.join(wholes, ["gram", "whole"], "left_semi").select("doc_id", "tag", "start", end))
-    open_ = alone.join(wholes, ["gram", "whole"], "left_anti").select(*core).distinct()
-    part = F.struct("gram", "phrase", "start", "windows", "alone")
-    windows = materialize(_with_text(docs, live.join(open_, core, "left_semi"), part, _window_batches, "start int, gram long, phrase long, alone boolean, window long"))
-    release(windows.limit(0))
-    single = windows.where("alone").join(_shared(windows, "gram", "window"), ["gram", "window"], "left_semi")
-    found.append(single.select("doc_id", "tag", "start", (F.col("start") + LENGTH).alias("end")))
+    few = _with_text(docs, dictionary.where(F.col("phrases") <= CROWD), part, _phrase_batches, "gram long, start int, lead int, alone boolean, bytes binary")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found.append(few.repartition("gram").sortWithinPartitions("gram").mapInArrow(_suffix_batches, f"doc_id {kind}, tag long, start int, end int"))
+    crowd = dictionary.where(F.col("phrases") > CROWD)
+    windows = None
+    if not crowd.isEmpty():
+        schema = "start int, alone boolean, phrase long, one long, two long, known boolean, first boolean"
+        windows = materialize(_with_text(docs, crowd, part, _window_batches, schema))
+        end = (F.col("start") + LENGTH).alias("end")
+        found.append(windows.where("alone and known").select("doc_id", "tag", "start", end))
+        met = windows.where("first").groupBy("one", "two").agg(F.min("phrase").alias("low"), F.max("phrase").alias("high"), F.bool_or("known").alias("known"))
+        met = met.where("known or low <> high").select("one", "two")
+        found.append(windows.where("alone and not known").join(met, ["one", "two"], "left_semi").select("doc_id", "tag", "start", end))
 
     spans = reduce(DataFrame.union, found).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("at"))
     spans = materialize(spans.select("doc_id", "tag", F.col("at.start").alias("starts"), F.col("at.end").alias("ends")))
-    release(again, dictionary, live, wholes, windows)
+    release(phrases, counted, mixed, dictionary, *([windows] if windows is not None else []))
     return spans
 
 
+def _places_of(phrases: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(doc_id, tag, start, end) of all occurrences of the phrases that ``repeated`` (gram, phrase, n) names."""
+    keys, end = ["gram", "phrase"], (F.col("start") + F.col("windows") + LENGTH - 1).alias("end")
+    rare = repeated.where(F.col("n") <= COMMON).select(*keys)
+    common = checked_broadcast(repeated.where(F.col("n") > COMMON).select(*keys))
+    rows = phrases.join(common, keys, "left_semi").union(phrases.join(common, keys, "left_anti").join(rare, keys, "left_semi"))
+    return rows.select("doc_id", "tag", "start", end)
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of ``docs``.
 
