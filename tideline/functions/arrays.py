@@ -28,7 +28,8 @@ def scan(xs: Column, zero: Column, step: Callable[[Column, Column], Column], out
     chained = F.aggregate(
         blocks,
         F.struct(zero.alias("s"), F.array().cast(f"array<{kind}>").alias("outs")),
-        lambda a, b: _join(a, within(b, a["s"])),
+        # bound by a lambda, so that a block is folded once
+        lambda a, b: F.get(F.transform(F.array(within(b, a["s"])), lambda made: _join(a, made)), F.lit(0)),
         lambda a: a["outs"],
     )
     return F.flatten(chained)

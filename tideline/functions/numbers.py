@@ -21,3 +21,8 @@ def short_key(x: Column) -> Column:
 
 def guarded_log(x: Column) -> Column:
     return F.when(x > 0, F.ln(x)).otherwise(F.lit(0.0))
+
+
+def binary_label(label: Column, normal: str) -> Column:
+    """0 for the label that is normal, 1 for any other, null for null."""
+    return F.when(label.isNotNull(), (label != normal).cast("int"))

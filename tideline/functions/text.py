@@ -22,16 +22,17 @@ CONTRACTIONS = {"cannot": "can not", "gimme": "gim me", "gonna": "gon na", "gott
 def clean(text: Column) -> Column:
     """ASCII letters, digits and single spaces: links go to the end of their line, then tags and mentions, then the rest."""
     text = F.regexp_replace(text, r"(?d)http.+\n|(?d)http.+$|http$", " ")
-    text = F.regexp_replace(text, r"[ \t\n\r\f\x0B]+", " ")
-    text = F.regexp_replace(F.regexp_replace(text, r"#[0-9A-Za-z_]+", ""), r"@[0-9A-Za-z_]+", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[^0-9A-Za-z \t]", " "), r"[ \t]+", " "))
+    text = F.regexp_replace(text, r"[#@][0-9A-Za-z_]+", "")
+    return F.trim(F.regexp_replace(text, r"[^0-9A-Za-z]+", " "))
+
+
+_HALVES = "|".join(f"{a}(?={b}(?![0-9a-z]))" for a, b in map(str.split, CONTRACTIONS.values()))
 
 
 def tokens(cleaned: Column) -> Column:
     """Words of cleaned text; the usual contractions are split."""
-    for word, parts in CONTRACTIONS.items():
-        cleaned = F.regexp_replace(cleaned, rf"(?i)(?<![0-9a-z])({word[:len(parts.split()[0])]})({word[len(parts.split()[0]):]})(?![0-9a-z])", "$1 $2")
-    return F.array_remove(F.split(cleaned, " "), "")
+    split = F.regexp_replace(cleaned, f"(?i)(?<![0-9a-z])({_HALVES})", "$1 ")
+    return F.array_remove(F.split(split, " "), "")
 
 
 def without_stop_words(words: Column) -> Column:
@@ -83,6 +84,12 @@ def mapped(f):
     return run
 
 
+def lemmatised(words: Column, lemmas: dict[str, str]) -> Column:
+    """Each word's lemma by a small dictionary, the word itself where it has none."""
+    table = F.create_map(*[F.lit(x) for pair in lemmas.items() for x in pair])
+    return F.transform(words, lambda w: F.coalesce(F.try_element_at(table, w), w))
+
+
 def part_of_speech_gate(tagger):
     """A Pandas UDF: the words if there are over three, a noun and a verb among them, else none."""
 

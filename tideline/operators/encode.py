@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import materialize
 from .prefix import dense_numbers
 
 
@@ -58,6 +59,22 @@ def hash_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), key).limit(n)
 
 
+def fraction_sample(df: DataFrame, key: str, fraction: float, seed: int = 0) -> DataFrame:
+    """About ``fraction`` of the rows, those whose salted key has a small MD5: the same rows whatever the partitioning."""
+    head = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
+    return df.where(head < F.lit(int(fraction * (1 << 32))))
+
+
+def embedded_tokens(docs: DataFrame, id_: str, tokens: Column, vectors: DataFrame) -> DataFrame:
+    """(id, pos, token, idx, vec): the tokens of each row that ``vectors`` (word, vec) knows, in order, numbered from 0 by
+    first occurrence among the known ones; words without a vector are left out.
+    """
+    words = docs.select(F.col(id_).alias("id"), F.posexplode(tokens).alias("pos", "token"))
+    known = materialize(words.join(vectors.select(F.col("word").alias("token"), "vec"), "token"))
+    numbers = vocabulary(known.withColumn("seq", F.col("id") * (1 << 32) + F.col("pos")), "token", "seq").select("token", "idx")
+    return known.join(numbers, "token").select("id", "pos", "token", "idx", "vec")
+
+
 def chunked(df: DataFrame, seq: str, size: int) -> DataFrame:
     """``df`` with ``chunk``: consecutive groups of ``size`` rows, for numbers from 0."""
     return df.withColumn("chunk", F.floor(F.col(seq) / F.lit(size)).cast("long"))

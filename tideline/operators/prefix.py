@@ -5,20 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import materialize
+
 #: Rows of a chunk; sequence numbers are dense, so a chunk is known from its number.
 CHUNK = 1 << 17
+#: Ranges that an order without dense numbers is cut into at most.
+RANGES = 10_000
 
 
-def ordered_chunks(df: DataFrame, value: str, parts: int = 200) -> Column:
-    """A column that numbers ranges of ``value`` in order, about equal in rows, nulls first; equal values share one.
+def ordered_chunks(df: DataFrame, value: str) -> Column:
+    """A column that numbers ranges of ``value`` in order, of about CHUNK rows each, nulls first; equal values share one.
 
-    The at most ``parts`` bounds are read once, so that every use of the column agrees.
+    The bounds are read once, so that every use of the column agrees: at most RANGES numbers, whatever the size.
     """
-    found = df.agg(F.percentile_approx(F.col(value).cast("double"), [i / parts for i in range(1, parts)], 10_000).alias("b")).first()["b"]
+    parts = min(RANGES, -(-df.count() // CHUNK))
+    if parts < 2:
+        return F.lit(0)
+    found = df.agg(F.percentile_approx(F.col(value).cast("double"), [i / parts for i in range(1, parts)], 4 * RANGES).alias("b")).first()["b"]
     bounds = sorted(set(found or []))
     if not bounds:
         return F.lit(0)
-    return F.when(F.col(value).isNull(), -1).otherwise(F.size(F.filter(F.lit(bounds), lambda b: b < F.col(value).cast("double"))))
+    place = F.size(F.filter(F.lit(bounds), lambda b: b < F.col(value).cast("double")))
+    return F.when(F.col(value).isNull(), -1).otherwise(place)
 
 
 def running(df: DataFrame, seq: str, aggregates: dict[str, tuple[str, Column]], chunk: Column | None = None) -> DataFrame:
@@ -40,21 +48,24 @@ def running(df: DataFrame, seq: str, aggregates: dict[str, tuple[str, Column]],
 
 
 def clocked(stream: DataFrame, seq: str = "seq", t: str = "t") -> DataFrame:
-    """``stream`` with ``ct``, the running maximum of ``t``, and ``k``, the number of distinct ``ct`` so far."""
-    rows = running(stream, seq, {"ct": ("max", F.col(t))})
-    steps = rows.select("ct").distinct()
-    ranked = dense_numbers(steps, ["ct"], "k").withColumn("k", F.col("k") + 1)
-    return rows.join(ranked, "ct").select(*stream.columns, "ct", "k")
+    """``stream`` with ``ct``, the running maximum of ``t``, and ``k``, the number of distinct ``ct`` so far.
+
+    Written to the shared folder, since what follows reads it several times.
+    """
+    rows = materialize(running(stream, seq, {"ct": ("max", F.col(t))}))
+    ranked = dense_numbers(rows.select("ct").distinct(), ["ct"], "k").withColumn("k", F.col("k") + 1)
+    return materialize(rows.join(ranked, "ct").select(*stream.columns, "ct", "k"))
 
 
 def dense_numbers(df: DataFrame, order: list[str], name: str = "seq") -> DataFrame:
     """``df`` with dense numbers from 0 in the order given, which must be total; the first column is a number or time.
 
+    ``df`` is written to the shared folder first, since its ranges, their counts and its rows are read in turn.
     Ranges of the first column are counted and only these counts are scanned in order; a row's place within
     its range comes from a window over the range.
     """
     head = "__order"
-    rows = df.withColumn(head, F.unix_micros(F.col(order[0]).cast("timestamp")) if df.schema[order[0]].dataType.typeName().startswith("timestamp") else F.col(order[0]))
+    rows = materialize(df.withColumn(head, F.unix_micros(F.col(order[0]).cast("timestamp")) if df.schema[order[0]].dataType.typeName().startswith("timestamp") else F.col(order[0])))
     rows = rows.withColumn("__chunk", ordered_chunks(rows, head))
     counts = rows.groupBy("__chunk").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import scan
 from ..params import ScorerParams
-from .prefix import clocked, running
+from ..tables import materialize
+from .prefix import CHUNK, clocked, running
 
 #: Cells are told apart by these; side 0 is the decayed sketch (and the total's too unless hashes differ).
 CELL = ("feature", "side", "hash_row", "bucket")
@@ -29,17 +30,19 @@ def surprise(total: Column, current: Column, t: Column, beta: float) -> Column:
     return F.when(t <= 0, F.lit(0.0)).otherwise(F.coalesce(score, F.lit(0.0)))
 
 
-def normalised(stream: DataFrame, columns: list[str], params: ScorerParams) -> DataFrame:
+def normalised(stream: DataFrame, columns: list[str], params: ScorerParams, bounds: dict[str, tuple[float | None, float | None]] | None = None) -> DataFrame:
     """``stream`` with ``v_<column>`` in [0, 1] for each numeric column: log10(1 + x) between its bounds.
 
     Streaming bounds are those of the non-zero values so far, the row's own included; a value of 0 has no v.
-    A-priori bounds are those of all values. Rounded to 12 places, so that a bucket's edge is one.
+    ``bounds`` are the logs that earlier batches of a stream left. A-priori bounds are those of all values.
+    Rounded to 12 places, so that a bucket's edge is one.
     """
     logs = {c: F.log10(1 + F.col(c)) for c in columns}
     if params.normaliser == "streaming":
+        left = lambda c, k: F.lit((bounds or {}).get(c, (None, None))[k]).cast("double")
         seen = {c: F.when(F.col(c) != 0, x) for c, x in logs.items()}
-        bounds = {f"lo_{c}": ("min", x) for c, x in seen.items()} | {f"hi_{c}": ("max", x) for c, x in seen.items()}
-        rows = running(stream, "seq", bounds)
+        ends = {f"lo_{c}": ("min", F.least(x, left(c, 0))) for c, x in seen.items()} | {f"hi_{c}": ("max", F.greatest(x, left(c, 1))) for c, x in seen.items()}
+        rows = running(stream, "seq", ends)
     else:
         ends = stream.agg(*[F.min(c).alias(f"lo_{c}") for c in columns], *[F.max(c).alias(f"hi_{c}") for c in columns]).first()
         low = {c: F.lit(ends[f"lo_{c}"]).cast("double") for c in columns}
@@ -77,23 +80,25 @@ def record_bucket(values: list[Column], codes: list[Column], row: int, params: S
 
 
 def cells(stream: DataFrame, numeric: list[str], categorical: list[str], params: ScorerParams, record: bool = True) -> DataFrame:
-    """(seq, k, ct, feature, side, hash_row, bucket): the cells each record adds to.
+    """(seq, k, ct, feature, side, hash_row, bucket, void): the cells each record adds to.
 
     A number has one exact histogram row and none for a raw 0; a code has one cell for each sketch row; the
-    record always has one for each sketch row.
+    record always has one for each sketch row. A void feature scores 0: a code of 0, an ignored record.
     """
-    made = [F.when(F.col(c) != 0, _cell(c, 0, 0, numeric_bucket(F.col(f"v_{c}"), params.buckets))) for c in numeric]
+    never = F.lit(False)
+    made = [F.when(F.col(c) != 0, _cell(c, 0, 0, numeric_bucket(F.col(f"v_{c}"), params.buckets), never)) for c in numeric]
     sides = [params.linear()] + ([params.total_hashes] if params.total_hashes else [])
-    made += [_cell(c, s, r, code_bucket(F.col(c), a, b, params.buckets)) for c in categorical for s, hashes in enumerate(sides) for r, (a, b) in enumerate(hashes)]
+    made += [_cell(c, s, r, code_bucket(F.col(c), a, b, params.buckets), F.col(c) == 0) for c in categorical for s, hashes in enumerate(sides) for r, (a, b) in enumerate(hashes)]
     if record:
         values = [F.coalesce(F.col(f"v_{c}"), F.lit(0.0)) for c in numeric]
-        made += [_cell("record", 0, r, record_bucket(values, [F.col(c) for c in categorical], r, params)) for r in range(params.rows)]
+        ignored = F.coalesce(F.col("ignore") == 1, never) if "ignore" in stream.columns else never
+        made += [_cell("record", 0, r, record_bucket(values, [F.col(c) for c in categorical], r, params), ignored) for r in range(params.rows)]
     rows = stream.select("seq", "k", "ct", F.explode(F.array_compact(F.array(*made))).alias("cell"))
     return rows.select("seq", "k", "ct", "cell.*")
 
 
-def _cell(feature: str, side: int, row: int, bucket: Column) -> Column:
-    return F.struct(F.lit(feature).alias("feature"), F.lit(side).alias("side"), F.lit(row).alias("hash_row"), bucket.alias("bucket"))
+def _cell(feature: str, side: int, row: int, bucket: Column, void: Column) -> Column:
+    return F.struct(F.lit(feature).alias("feature"), F.lit(side).alias("side"), F.lit(row).alias("hash_row"), bucket.alias("bucket"), void.alias("void"))
 
 
 def histories(counted: DataFrame, alpha: float, state: DataFrame | None = None) -> DataFrame:
@@ -119,37 +124,44 @@ def histories(counted: DataFrame, alpha: float, state: DataFrame | None = None)
 
 
 def estimates(cells_: DataFrame, params: ScorerParams, state: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """((seq, feature, ct, k, current, total), histories): count-min estimates of each record's features.
+    """((seq, feature, ct, k, void, current, total), histories): count-min estimates of each record's features.
 
-    Only a record's place within its cell and step needs a window, so a hot cell is split by step.
+    Only a record's place within its cell and step needs an order. It is counted in two levels, by chunks of
+    sequence numbers and within them, so a hot cell is split by step and chunk.
     """
-    counted = cells_.groupBy(*CELL, "k").agg(F.count("*").alias("n"))
-    told = histories(counted, params.alpha, state)
-    place = Window.partitionBy(*CELL, "k").orderBy("seq")
-    rows = cells_.withColumn("place", F.row_number().over(place)).join(told.where("new = 1"), [*CELL, "k"])
+    chunk = [*CELL, "k", "chunk"]
+    rows = cells_.withColumn("chunk", F.floor(F.col("seq") / F.lit(CHUNK)))
+    parts = rows.groupBy(*chunk).agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy(*CELL, "k").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select(*chunk, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    told = histories(parts.groupBy(*CELL, "k").agg(F.sum("n").alias("n")), params.alpha, state)
+    starts = starts.join(told.where("new = 1").select(*CELL, "k", "prior", "before"), [*CELL, "k"])
+    inside = F.row_number().over(Window.partitionBy(*chunk).orderBy("seq"))
+    rows = rows.withColumn("inside", inside).join(starts, chunk).withColumn("place", F.col("start") + F.col("inside"))
     current, total = F.col("prior") + F.col("place"), F.col("before") + F.col("place")
     decayed_side = total_side = F.col("side") == 0
     if params.total_hashes is not None:  # numbers and records have one side only
         single = cells_.groupBy("feature").agg(F.max("side").alias("sides")).where("sides = 0")
         total_side = (F.col("side") == 1) | F.col("feature").isin([r["feature"] for r in single.collect()])
-    least = rows.groupBy("seq", "ct", "k", "feature").agg(F.min(F.when(decayed_side, current)).alias("current"), F.min(F.when(total_side, total)).alias("total"))
+    least = rows.groupBy("seq", "ct", "k", "feature").agg(
+        F.max("void").alias("void"), F.min(F.when(decayed_side, current)).alias("current"), F.min(F.when(total_side, total)).alias("total")
+    )
     return least, told
 
 
-def feature_scores(stream: DataFrame, numeric: list[str], categorical: list[str], params: ScorerParams, record: bool = True, state: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """((seq, k, feature, score), histories). Zero codes, codes too rare, and ignored records score 0."""
-    rows = stream if not numeric else normalised(stream, numeric, params)
+def feature_scores(
+    stream: DataFrame, numeric: list[str], categorical: list[str], params: ScorerParams, record: bool = True, state: DataFrame | None = None,
+    bounds: dict[str, tuple[float | None, float | None]] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """((seq, k, feature, score), histories). Zero codes, codes too rare, and ignored records score 0.
+
+    ``state`` and ``bounds`` are what earlier batches of a stream left.
+    """
+    rows = stream if not numeric else materialize(normalised(stream, numeric, params, bounds))
     found, told = estimates(cells(rows, numeric, categorical, params, record), params, state)
     t = F.col("k") if params.time_mode == "step" else F.col("ct")
-    score = surprise(F.col("total"), F.col("current"), t, params.beta)
-    if categorical:
-        known = stream.select("seq", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), (F.col(c) == 0).alias("missing")) for c in categorical])).alias("f")).select("seq", "f.*")
-        found = found.join(known, ["seq", "feature"], "left")
-        code = F.col("missing").isNotNull()
-        score = F.when(code & (F.col("missing") | (F.col("current") <= params.min_count)), F.lit(0.0)).otherwise(score)
-    if record and "ignore" in stream.columns:
-        found = found.join(stream.select("seq", "ignore"), "seq")
-        score = F.when((F.col("feature") == "record") & (F.col("ignore") == 1), F.lit(0.0)).otherwise(score)
+    rare = F.col("feature").isin(categorical) & (F.col("current") <= params.min_count) if categorical else F.lit(False)
+    score = F.when(F.coalesce("void", F.lit(False)) | rare, F.lit(0.0)).otherwise(surprise(F.col("total"), F.col("current"), t, params.beta))
     return found.select("seq", "k", "feature", score.alias("score")), told
 
 

@@ -51,13 +51,18 @@ def rolling_average(df: DataFrame, key: str, order: str, value: str, n: int) ->
     return df.withColumn("rolling", F.avg(value).over(Window.partitionBy(key).orderBy(order).rowsBetween(1 - n, 0)))
 
 
-def linear_anomaly(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
+def linear_anomaly(df: DataFrame, key: str, x: str, y: str, season: Column | None = None) -> DataFrame:
     """``df`` with ``anomaly``: residual from the key's least-squares line in residual standard deviations; 0 if there are none.
 
-    A baseline in place of a trained forecast model: trend only.
+    A baseline in place of a trained forecast model: trend, and if ``season`` is given (as a day of the week) what
+    residuals of a season have in common.
     """
     fit = df.groupBy(key).agg(F.regr_slope(y, x).alias("__s"), F.regr_intercept(y, x).alias("__i"))
     rows = df.join(fit, key).withColumn("__r", F.col(y) - (F.col("__s") * F.col(x) + F.col("__i")))
+    if season is not None:
+        rows = rows.withColumn("__w", season)
+        usual = rows.groupBy(F.col(key).alias("__k"), F.col("__w").alias("__v")).agg(F.avg("__r").alias("__u"))
+        rows = rows.join(usual, (F.col(key) == F.col("__k")) & F.col("__w").eqNullSafe(F.col("__v"))).withColumn("__r", F.col("__r") - F.col("__u")).drop("__k", "__w", "__v", "__u")
     spread = rows.groupBy(key).agg(F.stddev_samp("__r").alias("__d"))
     score = F.when(F.col("__d") > 1e-9, F.col("__r") / F.col("__d")).otherwise(F.lit(0.0))
     return rows.join(spread, key).withColumn("anomaly", F.coalesce(score, F.lit(0.0))).drop("__s", "__i", "__r", "__d")

@@ -7,9 +7,15 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import materialize
+
+#: Queries of a nearest-neighbour search that are broadcast at a time.
+QUERY_BLOCK = 2048
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -34,13 +40,53 @@ def pairwise(df: DataFrame, group: str, id_: str, vector: str) -> DataFrame:
 def nearest(queries: DataFrame, vectors: DataFrame, id_: str, vector: str, k: int) -> DataFrame:
     """(query, rank, id, cosine): the exact k most similar vectors of each query, itself left out.
 
-    The queries are meant to be few: they are the broadcast side of the scan, in one block.
+    Queries go out in blocks of at most about QUERY_BLOCK vectors, each against all rows by one product of matrices a
+    batch; a task keeps k rows of each query. Scores that agree to 12 decimals are ties, which go to the smaller
+    id. Vectors that are null or zero take no part.
     """
-    asked = queries.select(F.col(id_).alias("query"), F.col(vector).alias("vq"))
-    rows = vectors.select(F.col(id_).alias("id"), F.col(vector).alias("v")).join(F.broadcast(asked), F.col("id") != F.col("query"))
-    rows = rows.select("query", "id", cosine(F.col("v"), F.col("vq")).alias("cosine"))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "id"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= k)
+    kind = vectors.schema[id_].dataType.simpleString()
+    doubles = F.transform(vector, lambda x: x.cast("double"))
+    rows = vectors.select(F.col(id_).alias("id"), doubles.alias("v")).where(F.exists("v", lambda x: x != 0))
+    asked = queries.select(F.col(id_).alias("query"), doubles.alias("vq")).where(F.exists("vq", lambda x: x != 0))
+    blocks = -(-asked.count() // QUERY_BLOCK)
+    asked = materialize(asked.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks or 1))))
+    schema = f"query {kind}, id {kind}, cosine double"
+    parts = [_nearest_to_block(rows, asked.where(F.col("block") == b).toArrow(), k, schema) for b in range(blocks)]
+    found = reduce(DataFrame.union, parts) if parts else vectors.sparkSession.createDataFrame([], schema)
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("cosine", 12)), "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.empty((0, 0))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _nearest_to_block(rows: DataFrame, asked: pa.Table, k: int, schema: str) -> DataFrame:
+    if not asked.num_rows:
+        return rows.sparkSession.createDataFrame([], schema)
+    sent = rows.sparkSession.sparkContext.broadcast((asked.column("query").to_pylist(), _matrix(asked.column("vq"))))
+
+    def run(batches):
+        names, block = sent.value
+        best: list[list[tuple]] = [[] for _ in names]  # (-rounded cosine, id, cosine), in order
+        for batch in batches:
+            ids, scores = batch.column("id").to_pylist(), _matrix(batch.column("v")) @ block.T
+            width = min(k + 1, len(ids))
+            if not width:
+                continue
+            # all rows that tie with the last of the k + 1 highest, since ties are decided by id
+            cut = np.partition(scores, len(ids) - width, axis=0)[len(ids) - width] - 1e-11
+            for q, name in enumerate(names):
+                met = [(-round(float(scores[r, q]), 12), ids[r], float(scores[r, q])) for r in np.flatnonzero(scores[:, q] >= cut[q]) if ids[r] != name]
+                best[q] = sorted(best[q] + met)[:k]
+        out = [(name, i, c) for name, some in zip(names, best) for _, i, c in some]
+        columns = list(zip(*out)) if out else [(), (), ()]
+        kind = asked.schema.field("query").type
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], kind), pa.array(columns[1], kind), pa.array(columns[2], pa.float64())], ["query", "id", "cosine"])
+
+    return rows.mapInArrow(run, schema)
 
 
 def dimensions(df: DataFrame, keep: list[str], vector: str) -> DataFrame:

@@ -120,6 +120,15 @@ def forecast_linear_anomaly(events: DataFrame, *_) -> DataFrame:
     return rows.select("event_type", F.col("x").cast("long").alias("step"), F.round("anomaly", 6).alias("anomaly"), (F.col("anomaly") > 1.5).alias("is_anomaly"))
 
 
+@query(f"""{_FIT}, w as (select event_type, ((cast(floor(x / 4) as bigint) % 7) + 7) % 7 as wd, avg(res) as usual from r group by 1, 2),
+rw as (select r.event_type, x, res - usual as res from r join w on r.event_type = w.event_type and ((cast(floor(x / 4) as bigint) % 7) + 7) % 7 = wd), dw as (select event_type, stddev_samp(res) as sd from rw group by 1)
+select event_type, cast(x as bigint) as step, round(case when sd > 1e-9 then res / sd else 0 end, 6) as anomaly from rw join dw using (event_type)""")
+def forecast_weekly_anomaly(events: DataFrame, *_) -> DataFrame:
+    """Trend and day of the week."""
+    rows = S.linear_anomaly(_series(events), "event_type", "x", "y", F.pmod(F.floor(F.col("x") / 4), F.lit(7)))
+    return rows.select("event_type", F.col("x").cast("long").alias("step"), F.round("anomaly", 6).alias("anomaly"))
+
+
 def _series(events: DataFrame) -> DataFrame:
     x = ((epoch_seconds(ceil_bucket(F.col("ts"), 21600)) - 1704067200).cast("double") / 21600).alias("x")
     return events.groupBy("event_type", x).agg(F.count("*").cast("double").alias("y"))

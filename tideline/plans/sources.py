@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources import readers as R
 from ..sources import sinks as K
+from ..tables import run_dir
 
 QUERIES, SQL = {}, {}
 
@@ -25,8 +26,7 @@ def query(sql: str | None):
 
 def _folder(spark: SparkSession) -> str:
     """A new folder among those that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/tideline-files-{uuid.uuid4().hex}"
+    return f"{run_dir(spark)}/{uuid.uuid4().hex}"
 
 
 @query("select doc_id, source as user_id, strftime(make_timestamp(1704067200000000 + doc_id * 1000000), '%Y-%m-%d %H:%M:%S') as created, array_to_string([lang, source], ',') as hashtags, '' as mentions, n_chars as like_count, case when doc_id % 3 = 0 then cast(doc_id + 1 as varchar) end as quoted from documents")
@@ -90,6 +90,48 @@ def record_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@query("select o_orderkey as key, row_number() over (order by o_orderkey) - 1 as n, o_totalprice as price from orders")
+def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of several files, numbered over all of them."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat_ws(",", "o_orderkey", "o_totalprice").alias("line"), "o_orderkey")
+    path = _folder(spark)
+    orders.repartitionByRange(5, "o_orderkey").sortWithinPartitions("o_orderkey").select("line").write.text(path)
+    parts = F.split("value", ",")
+    return R.numbered_lines(spark, path).select(parts[0].cast("long").alias("key"), "n", parts[1].cast("double").alias("price"))
+
+
+@query("""select event_id as n, case when event_id % 4 = 0 then 1 else 2 end as size, round(value + case when event_id % 4 = 0 then 0 else user_id end, 6) as total from events where event_id % 10 <> 3""")
+def headerless_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with comments and with words that are no numbers: rows shorten and keep their line's number."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    second = F.when(F.col("event_id") % 4 == 0, F.lit("none")).otherwise(F.col("user_id").cast("string"))
+    line = F.concat(F.when(F.col("event_id") % 10 == 3, F.lit("#")).otherwise(F.lit("")), F.concat_ws(",", F.col("value").cast("string"), second))
+    path = _folder(spark)
+    events.select(line.alias("line"), "event_id").repartitionByRange(3, "event_id").sortWithinPartitions("event_id").select("line").write.text(path)
+    rows = R.number_lists(R.numbered_lines(spark, path))
+    return rows.select("n", F.size("values").cast("long").alias("size"), F.round(F.aggregate("values", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@query("select event_id as seq, printf('%.2f', value) as line from events")
+def score_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score lines written as a text file in order and read back by their numbers."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("seq"), "value")
+    path = _folder(spark)
+    K.write_scores(rows, ["value"], path, 2)
+    return R.numbered_lines(spark, path).select(F.col("n").alias("seq"), F.col("value").alias("line"))
+
+
+@query("select event_id, case when event_type = 'view' then 0 else 1 end as label, strftime(make_timestamp(1704067200000000 + event_id * 1000000), '%Y-%m-%d %H:%M:%S') as time from events")
+def labelled_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels ``name.`` as 0 for the normal one and 1 for others, and a time of one second a record."""
+    from ..functions.numbers import binary_label
+    from ..sources.synthetic import seconds_from
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    time = seconds_from(F.to_timestamp(F.lit("2024-01-01 00:00:00")), F.col("event_id"))
+    return events.select("event_id", binary_label(F.concat("event_type", F.lit(".")), "view.").cast("long").alias("label"), F.date_format(time, "yyyy-MM-dd HH:mm:ss").alias("time"))
+
+
 @query(None)
 def synthetic_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.synthetic import random_strings, random_words

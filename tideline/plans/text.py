@@ -55,22 +55,39 @@ def entities_prefix(docs: DataFrame) -> DataFrame:
 
 
 @query(f"""with t as (select doc_id, unnest({_TOKENS}) as token, unnest(range(0, len({_TOKENS}))) as pos from documents)
-select token, count(*) as occurrences, row_number() over (order by min(doc_id * 1000000 + pos), token) - 1 as idx from t group by 1""")
+select token, count(*) as occurrences, row_number() over (order by min(doc_id * 4294967296 + pos), token) - 1 as idx from t group by 1""")
 def vocabulary_index(docs: DataFrame) -> DataFrame:
     words = docs.select("doc_id", F.posexplode(T.preprocess(F.col("text"), stop_words=False)).alias("pos", "token"))
-    return E.vocabulary(words.withColumn("seq", F.col("doc_id") * 1_000_000 + F.col("pos")), "token", "seq")
+    return E.vocabulary(words.withColumn("seq", F.col("doc_id") * (1 << 32) + F.col("pos")), "token", "seq")
 
 
 @query(f"""with t as (select doc_id, unnest({_TOKENS}) as token, unnest(range(0, len({_TOKENS}))) as pos from documents),
-v as (select token, row_number() over (order by min(doc_id * 1000000 + pos), token) - 1 as idx from t group by 1)
+v as (select token, row_number() over (order by min(doc_id * 4294967296 + pos), token) - 1 as idx from t group by 1)
 select doc_id, string_agg(cast(idx as varchar), ' ' order by pos) as indices from t join v using (token) group by 1""")
 def token_indices(docs: DataFrame) -> DataFrame:
     words = docs.select("doc_id", F.posexplode(T.preprocess(F.col("text"), stop_words=False)).alias("pos", "token"))
-    coded = words.join(E.vocabulary(words.withColumn("seq", F.col("doc_id") * 1_000_000 + F.col("pos")), "token", "seq"), "token")
+    coded = words.join(E.vocabulary(words.withColumn("seq", F.col("doc_id") * (1 << 32) + F.col("pos")), "token", "seq"), "token")
     listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", "idx"))), lambda x: x["idx"].cast("string"))
     return coded.groupBy("doc_id").agg(F.array_join(listed, " ").alias("indices"))
 
 
+@query(f"""with t as (select doc_id, unnest({_TOKENS}) as token, unnest(range(0, len({_TOKENS}))) as pos from documents),
+v as (select token, min(doc_id * 4294967296 + pos) as first from t where length(token) between 4 and 6 and token not in ({_STOP}) group by 1),
+i as (select token, row_number() over (order by first, token) - 1 as idx from v)
+select doc_id, count(*) as n, cast(sum(idx) as bigint) as idx_sum, round(sum(length(token) / 10.0), 6) as vec_sum from t join i using (token) group by 1""")
+def embedded_tokens(docs: DataFrame) -> DataFrame:
+    """Tokens with the vectors of a table of words (those of four to six letters) and their numbers."""
+    words = docs.select(F.explode(F.array_distinct(T.preprocess(F.col("text")))).alias("word")).distinct()
+    vectors = words.where(F.length("word").between(4, 6)).select("word", F.array(F.length("word") / F.lit(10.0), F.lit(1.0)).alias("vec"))
+    rows = E.embedded_tokens(docs, "doc_id", T.preprocess(F.col("text")), vectors)
+    return rows.groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("n"), F.sum("idx").alias("idx_sum"), F.round(F.sum(F.col("vec")[0]), 6).alias("vec_sum"))
+
+
+@query("select doc_id from documents where cast('0x' || substr(md5('7:' || cast(doc_id as varchar)), 1, 8) as bigint) < 858993459")
+def fraction_sample(docs: DataFrame) -> DataFrame:
+    return E.fraction_sample(docs, "doc_id", 0.2, 7).select("doc_id")
+
+
 @query("select source, '@' || source || ' OR from:' || source || ' OR to:' || source as q, replace(replace(replace('@' || source || ' OR from:' || source, '@', '%40'), ' ', '+'), ':', '%3A') as encoded from (select distinct source from documents)")
 def query_strings(docs: DataFrame) -> DataFrame:
     rows = docs.select("source").distinct()
@@ -103,6 +120,17 @@ def porter_stem(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.array_join(T.preprocess(F.col("text"), stem=True, unique=True), " ").alias("stems"))
 
 
+_LEMMAS = {"thes": "the", "ands": "and", "ofs": "of", "was": "be", "are": "be", "is": "be"}
+
+
+@query(f"""with l as (select unnest({list(_LEMMAS)}) as w, unnest({list(_LEMMAS.values())}) as lemma), t as (select doc_id, unnest({_TOKENS}) as token, unnest(range(0, len({_TOKENS}))) as pos from documents)
+select d.doc_id, coalesce(x.lemmas, '') as lemmas from documents d left join (select doc_id, string_agg(coalesce(lemma, token), ' ' order by pos) as lemmas from t left join l on token = w group by 1) x using (doc_id)""")
+def dictionary_lemmas(docs: DataFrame) -> DataFrame:
+    """Lemmas from a dictionary, a literal map that Spark looks words up in."""
+    words = T.lemmatised(T.preprocess(F.col("text"), stop_words=False), _LEMMAS)
+    return docs.select("doc_id", F.array_join(words, " ").alias("lemmas"))
+
+
 def _suffix_tags(words: list[str]) -> list[str]:
     return ["V" if w.endswith(("ing", "ed", "er", "en")) else "N" for w in words]
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,12 +75,30 @@ def word_vectors(lines: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(n, value): the lines of text files with their numbers in order of file and place.
+    """(n, value): the lines of text files with their numbers from 0, in order of file and place.
 
-    A file is one partition of one task here, so that its numbers are those of its lines.
+    Files are split among tasks as Spark likes. Lines are counted by file and split, only these counts are scanned
+    in order, and a line's place within its split is added.
     """
-    rows = spark.read.text(path, wholetext=True)
-    return rows.select(F.posexplode(F.split("value", "\n", -1)).alias("n", "value")).where("value <> '' or n = 0")
+    rows = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")
+    )
+    split = ["file", "block"]
+    counts = rows.groupBy(*split).agg(F.count("*").alias("lines"), F.min("at").alias("first"))
+    before = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*[F.col(c).alias(f"__{c}") for c in split], "first", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("start"))
+    rows = rows.join(starts, (F.col("file") == F.col("__file")) & (F.col("block") == F.col("__block")))
+    # ids of a split's lines are consecutive, since one task reads them one after the other
+    return rows.select((F.col("start") + F.col("at") - F.col("first")).cast("long").alias("n"), "value")
+
+
+def number_lists(lines: DataFrame) -> DataFrame:
+    """(n, values): the numbers of comma-separated lines (n, value). Lines that begin with # are left out, and so is
+    what does not parse, which shortens its row; rows keep the numbers of their lines.
+    """
+    kept = lines.where(~F.startswith("value", F.lit("#")))
+    parsed = F.transform(F.split("value", ","), lambda x: F.trim(x).try_cast("double"))
+    return kept.select("n", F.array_compact(parsed).alias("values"))
 
 
 def bucket_files(spark: SparkSession, pattern: str) -> DataFrame:

@@ -20,8 +20,8 @@ def score_lines(scores: DataFrame, columns: list[str], decimals: int = 6) -> Dat
     return scores.select("seq", F.concat_ws(",", *fields).alias("line"))
 
 
-def write_scores(scores: DataFrame, columns: list[str], path: str) -> None:
-    score_lines(scores, columns).orderBy("seq").select("line").write.text(path, mode="overwrite")
+def write_scores(scores: DataFrame, columns: list[str], path: str, decimals: int = 6) -> None:
+    score_lines(scores, columns, decimals).orderBy("seq").select("line").write.mode("overwrite").text(path)
 
 
 def bounds(df: DataFrame, columns: list[str]) -> DataFrame:
