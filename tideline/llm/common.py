@@ -2,43 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import tempfile
-import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of at most a few dozen bytes each that may be broadcast after they have been counted.
-BROADCAST_ROWS = 500_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only a single-machine session without that setting gets a folder of its own.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith(("local[", "local*")) and spark.sparkContext.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tideline-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
+from ..tables import materialize, remove, run_dir, shared_dir
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it again.
+__all__ = ["checked_broadcast", "materialize", "release", "run_dir", "shared_dir", "string_weight", "text_of", "text_tag"]
 
-    Cuts the lineage: later jobs read files that outlive any executor. The files go when the driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tideline-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(schema).parquet(path)
+#: Rows of at most a few dozen bytes each that may be broadcast after they have been counted.
+BROADCAST_ROWS = 500_000
 
 
 def release(*tables: DataFrame) -> None:
@@ -46,22 +20,14 @@ def release(*tables: DataFrame) -> None:
     files of jobs that are over: Spark drops those when the driver has collected its garbage.
     """
     for table in tables:
-        for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-            if "/tideline-" in path:
-                _remove(table.sparkSession, path)
         spark = table.sparkSession
+        for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            if f"/{run_dir(spark).rsplit('/', 1)[1]}/" in path:
+                remove(spark, path)
     gc.collect()
     spark._jvm.System.gc()
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session has gone already
-        pass
-
-
 def text_of(name: str = "text") -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(name), F.lit(""))

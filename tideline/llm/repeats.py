@@ -193,7 +193,7 @@ def repeated_suffixes(phrases: list[bytes], leads: np.ndarray, groups: np.ndarra
     phrase = np.repeat(np.arange(len(phrases)), windows)
     window = np.arange(len(phrase)) - np.repeat(np.cumsum(windows) - windows, windows)
     at = starts[phrase] + window
-    kind = groups[phrase].astype(np.int64) * (LENGTH + 1) + leads[phrase] - window  # leads are below LENGTH
+    kind = groups[phrase].astype(np.int64) * (int(leads.max(initial=0)) + 1) + leads[phrase] - window
     for k in range(LENGTH // 8):
         word = words[at + 8 * k]
         order = np.lexsort((word, kind))
