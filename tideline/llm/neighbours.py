@@ -1,4 +1,4 @@
-"""Approximate nearest neighbours by additive quantisation, with exact reranking."""
+"""Nearest neighbours by additive quantisation in a coarse partition, with exact reranking."""
 
 from __future__ import annotations
 
@@ -31,6 +31,16 @@ TIE = 1e12
 class Books:
     words: np.ndarray  # BOOKS x CODES x dimension, full-dimensional
 
+    @property
+    def centers(self) -> np.ndarray:
+        """Directions of the first codebook's words: those of the lists of the coarse partition."""
+        first = self.words[0].astype(np.float64)
+        return first / np.maximum(np.linalg.norm(first, axis=1, keepdims=True), 1e-300)
+
+
+def _angles(cosines: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(cosines, -1, 1))
+
 
 def fit(sample: np.ndarray, books: int = BOOKS, codes: int = CODES, rounds: int = FIT_ROUNDS, seed: int = 7) -> Books:
     """Residual k-means for the first fit, then each codebook is refitted on what the others leave."""
@@ -120,10 +130,12 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def build(rows: DataFrame, k: int = 5) -> tuple[DataFrame, Books | None]:
-    """The index of ``rows`` (vec_id, v): (ids, v, codes, norm, angle) for each distinct vector, and its codebooks.
+    """The index of ``rows`` (vec_id, v): (list, ids, v, codes, norm, angle, spread) for each distinct vector, and its codebooks.
 
     Equal vectors share an entry with the smallest of their ids, each once: at most k + 1 are needed, since a query
-    wants k neighbours besides itself; the rest of a group never meets in a task.
+    wants k neighbours besides itself; the rest of a group never meets in a task. ``list`` is the nearest of the
+    first codebook's words, ``spread`` the angle to it. The index is in order of list and codes, so that a
+    search reads only the parts that hold its lists; a crowd of equal codes is dealt out by a hash.
     """
     keyed = rows.withColumn("key", F.sha2(F.array_join(F.transform("v", lambda x: (x + F.lit(0.0)).cast("string")), ","), 256))
     once = keyed.groupBy("key", "vec_id").agg(F.first("v").alias("v"))
@@ -140,14 +152,18 @@ def build(rows: DataFrame, k: int = 5) -> tuple[DataFrame, Books | None]:
     sent = rows.sparkSession.sparkContext.broadcast(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centers = sent.value.centers
         for batch in batches:
-            codes, norms, angles = encode(sent.value, _unit(_matrix(batch.column("v"))))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("ids"), batch.column("v"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms), pa.array(angles)], ["ids", "v", "codes", "norm", "angle"]
-            )
+            unit = _unit(_matrix(batch.column("v")))
+            codes, norms, angles = encode(sent.value, unit)
+            near = unit @ centers.T
+            at = near.argmax(1) if len(near) else np.empty(0, np.int64)
+            columns = [pa.array(at.astype(np.int32)), batch.column("ids"), batch.column("v"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms), pa.array(angles)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(_angles(near[np.arange(len(at)), at]))], ["list", "ids", "v", "codes", "norm", "angle", "spread"])
 
-    indexed = entries.select("ids", "v").mapInArrow(run, "ids array<long>, v array<double>, codes binary, norm double, angle double")
-    return materialize(indexed), found
+    indexed = entries.select("ids", "v").mapInArrow(run, "list int, ids array<long>, v array<double>, codes binary, norm double, angle double, spread double")
+    order = ["list", "codes", F.xxhash64(F.col("ids")[0])]
+    return materialize(indexed.repartitionByRange(*order).sortWithinPartitions(*order)), found
 
 
 def _within(approx: np.ndarray, angles: np.ndarray, slack: np.ndarray, least: np.ndarray) -> np.ndarray:
@@ -172,50 +188,64 @@ def _best(found: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, ...]:
     return tuple(x[order[at < k]] for x in found)
 
 
-def _search_block(index: DataFrame, found: Books, ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
-    """(query_id, vec_id, tie, score): for each query of a block the k best of each task's rows.
+def _runs(lists: np.ndarray, size: int) -> Iterator[slice]:
+    """Runs of equal lists, cut into pieces of ``size`` rows at most."""
+    edges = np.r_[0, np.flatnonzero(np.diff(lists)) + 1, len(lists)]
+    for start, end in zip(edges[:-1], edges[1:]):
+        for k in range(start, end, size):
+            yield slice(k, min(k + size, end))
+
+
+def _search_block(index: DataFrame, found: Books, ids: np.ndarray, queries: np.ndarray, asked: np.ndarray, least: np.ndarray, k: int) -> DataFrame:
+    """(query_id, vec_id, tie, score): for each query of a block the k best of each task's rows, of the lists it asks.
 
-    Every row whose reconstruction does not rule it out is scored exactly, however many there are.
+    ``asked`` tells queries x lists, ``least`` what a score must reach. Every row of these lists whose
+    reconstruction does not rule it out is scored exactly, however many there are.
     """
-    sent = index.sparkSession.sparkContext.broadcast((found, ids, queries))
+    sent = index.sparkSession.sparkContext.broadcast((found, ids, queries, asked, least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books, query_ids, exact = sent.value
-        exact = _unit(exact)
+        books, query_ids, exact, asked, least = sent.value
+        exact, least = _unit(exact), least.copy()  # of each query the score of its k-th best so far
         unit = exact.astype(np.float32)
-        tables = np.einsum("qd,mcd->mcq", unit, books.words)  # lookup tables: inner products with every code word
         # what the 32-bit sums that make up an inner product may be off by
         off = np.finfo(np.float32).eps * (books.words.shape[2] + 2 * len(books.words)) * np.linalg.norm(books.words, axis=2).max(1).sum()
         best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-        least = np.full(len(exact), -np.inf)  # score of the k-th best so far
+        some, tables = None, None
         for batch in batches:
-            vectors, members = _unit(_matrix(batch.column("v"))), batch.column("ids")
+            vectors, members, lists = _unit(_matrix(batch.column("v"))), batch.column("ids"), batch.column("list").to_numpy()
             ends = np.r_[0, np.cumsum(members.value_lengths().to_numpy())]
             members = members.flatten().to_numpy()
             codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(len(vectors), -1)
             norms, angles = np.maximum(batch.column("norm").to_numpy(), 1e-12), batch.column("angle").to_numpy()
-            for start in range(0, len(vectors), ROW_BLOCK):
-                block = slice(start, min(start + ROW_BLOCK, len(vectors)))
-                part = vectors[block]
+            for block in _runs(lists, ROW_BLOCK):
+                now = np.flatnonzero(asked[:, lists[block.start]])
+                if not len(now):
+                    continue
+                if some is None or not np.array_equal(now, some):
+                    some = now  # lookup tables: inner products of the queries that ask this list with every code word
+                    tables = np.einsum("qd,mcd->mcq", unit[some], books.words)
+                part, target = vectors[block], exact[some]
                 approx = reduce(np.add, (tables[m][codes[block, m]] for m in range(codes.shape[1]))) / norms[block, None].astype(np.float32)
                 width = min(SHORTLIST, len(part))
                 if width > k:  # k + 1 entries hold at least k ids besides the query's own
                     short = np.argpartition(-approx, width - 1, axis=0)[:width].T
-                    scores = np.stack([part[r] @ exact[q] for q, r in enumerate(short)])
-                    least = np.maximum(least, np.partition(scores, width - k - 1, axis=1)[:, width - k - 1])
-                within = _within(approx, angles[block], off / norms[block] + 1e-6, least - 2 / TIE)
+                    scores = np.stack([part[r] @ target[q] for q, r in enumerate(short)])
+                    least[some] = np.maximum(least[some], np.partition(scores, width - k - 1, axis=1)[:, width - k - 1])
+                within = _within(approx, angles[block], off / norms[block] + 1e-6, least[some] - 2 / TIE)
                 if within.mean() > DENSE:
-                    scores = part @ exact.T
+                    scores = part @ target.T
                     if len(part) > k:
-                        least = np.maximum(least, np.partition(scores, len(part) - k - 1, axis=0)[len(part) - k - 1])
-                    r, q = np.nonzero(scores >= least - 2 / TIE)
+                        least[some] = np.maximum(least[some], np.partition(scores, len(part) - k - 1, axis=0)[len(part) - k - 1])
+                    r, q = np.nonzero(scores >= least[some] - 2 / TIE)
                     s = scores[r, q]
                 else:
                     r, q = np.nonzero(within)
-                    s = np.concatenate([np.einsum("nd,nd->n", part[r[j : j + 65536]], exact[q[j : j + 65536]]) for j in range(0, len(r), 65536)] or [np.empty(0)])
-                    r, q, s = (x[s >= least[q] - 2 / TIE] for x in (r, q, s))
-                sizes = ends[start + r + 1] - ends[start + r]
-                at = np.repeat(ends[start + r] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+                    s = np.concatenate([np.einsum("nd,nd->n", part[r[j : j + 65536]], target[q[j : j + 65536]]) for j in range(0, len(r), 65536)] or [np.empty(0)])
+                    r, q, s = (x[s >= least[some][q] - 2 / TIE] for x in (r, q, s))
+                r, q = r + block.start, some[q]
+                sizes = ends[r + 1] - ends[r]
+                at = np.repeat(ends[r] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
                 q, i, s = np.repeat(q, sizes), members[at], np.repeat(s, sizes)
                 other = i != query_ids[q]
                 new = (q[other], i[other], np.rint(s[other] * TIE).astype(np.int64), s[other])
@@ -224,14 +254,49 @@ def _search_block(index: DataFrame, found: Books, ids: np.ndarray, queries: np.n
                 least[full] = np.maximum(least[full], best[3][np.searchsorted(best[0], full, side="right") - 1])
         yield pa.RecordBatch.from_arrays([pa.array(query_ids[best[0]], pa.int64()), *(pa.array(x) for x in best[1:])], ["query_id", "vec_id", "tie", "score"])
 
-    return index.mapInArrow(run, "query_id long, vec_id long, tie long, score double")
+    wanted = np.flatnonzero(asked.any(0)).tolist()
+    rows = index.where(F.col("list").isin(wanted)) if wanted else index.limit(0)
+    return rows.mapInArrow(run, "query_id long, vec_id long, tie long, score double")
+
+
+def _blocks_of_lists(counts: dict[int, int], size: int) -> dict[int, tuple[int, int]]:
+    """By list the first of its blocks and their number, so that blocks have about ``size`` queries of few lists."""
+    out, block, held = {}, 0, 0
+    for at, n in sorted(counts.items()):
+        if held and held + n > size:
+            block, held = block + 1, 0
+        many = 1 if n <= size else 2 * -(-n // size)
+        out[at] = (block, many)
+        held += n
+        if many > 1:
+            block, held = block + many, 0
+    return out
+
+
+def _with_lists(asked: DataFrame, found: Books) -> DataFrame:
+    """``asked`` (vec_id, v) with the list that is nearest to each."""
+    sent = asked.sparkSession.sparkContext.broadcast(found.centers)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = (_unit(_matrix(batch.column("v"))) @ sent.value.T).argmax(1) if batch.num_rows else np.empty(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32))], ["vec_id", "v", "list"])
+
+    return asked.select("vec_id", "v").mapInArrow(run, "vec_id long, v array<double>, list int")
+
+
+def _best_of_tasks(parts: list[DataFrame]) -> DataFrame:
+    """(query_id, vec_id, tie, score) of what tasks found, an id once for each query."""
+    return reduce(DataFrame.union, parts).groupBy("query_id", "vec_id").agg(F.max(F.struct("tie", "score")).alias("x")).select("query_id", "vec_id", "x.tie", "x.score")
 
 
 def search(vectors: DataFrame, every: int = 50, k: int = 5, vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest by cosine of each row whose vec_id is divisible by ``every``.
 
-    All rows but the query's own id are candidates; queries go out in blocks of QUERY_BLOCK, each against the
-    whole index. Codes only rule rows out: all that may be among the k best are scored exactly, so none is missed.
+    All rows but the query's own id are candidates. Queries go out in blocks of about QUERY_BLOCK, those of a list
+    together. A block first searches its queries' own lists; the k-th best found there and the spread of each
+    other list tell by the triangle inequality which of these may hold a better one, and only those are read.
+    Lists and codes only rule rows out: all that may be among the k best are scored exactly, so none is missed.
     Scores are cosines of the original vectors in double precision; ties (to TIE) go to the smaller vec_id.
     Fewer candidates: all of them. Ids are taken to be unique; a repeated row counts as one neighbour. Vectors
     that ``usable`` leaves out take no part. An empty table gives no rows.
@@ -241,16 +306,49 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, vector: str = "embed
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.first("v").alias("v"))
-    n = asked.count() if found else 0
-    if not n:
+    if not found:
         return empty
-    blocks = -(-n // QUERY_BLOCK) * (2 if n > QUERY_BLOCK else 1)
-    asked = materialize(asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))))
-    parts = []
-    for b in range(blocks):
+    asked = materialize(_with_lists(asked, found))
+    # as many rows as the first codebook has words
+    counts = {r["list"]: r["n"] for r in asked.groupBy("list").agg(F.count("*").alias("n")).collect()}
+    if not counts:
+        return empty
+    spread = np.full(len(found.centers), -1.0)
+    for r in index.groupBy("list").agg(F.max("spread").alias("s")).collect():
+        spread[r["list"]] = r["s"]
+    places = _blocks_of_lists(counts, QUERY_BLOCK)
+    place = F.element_at(F.create_map(*[x for at, (b, n) in places.items() for x in (F.lit(at), F.struct(F.lit(b).alias("b"), F.lit(n).alias("n")))]), F.col("list"))
+    asked = materialize(asked.withColumn("block", place["b"] + F.pmod(F.xxhash64("vec_id"), place["n"])))
+    blocks = sorted({b + j for b, n in places.values() for j in range(n)})
+
+    own = []
+    for b in blocks:
+        table = asked.where(F.col("block") == b).toArrow()
+        if table.num_rows:
+            ids, v, lists = _columns(table)
+            mine = np.zeros((len(ids), len(spread)), bool)
+            mine[np.arange(len(ids)), lists] = True
+            own.append(_search_block(index, found, ids, v, mine, np.full(len(ids), -np.inf), k))
+    first = materialize(_best_of_tasks(own))
+    kth = first.groupBy("query_id").agg(F.get(F.sort_array(F.collect_list("score"), False), F.lit(k - 1)).alias("least"))
+    asked = materialize(asked.join(kth, asked["vec_id"] == kth["query_id"], "left").select("vec_id", "v", "list", "block", F.coalesce("least", F.lit(-2.0)).alias("least")))
+
+    others = []
+    for b in blocks:
         table = asked.where(F.col("block") == b).toArrow()
         if table.num_rows:
-            parts.append(_search_block(index, found, table.column("vec_id").to_numpy(), _matrix(table.column("v").combine_chunks()), k))
-    best = reduce(DataFrame.union, parts).groupBy("query_id", "vec_id").agg(F.max(F.struct("tie", "score")).alias("x")).select("query_id", "vec_id", "x.tie", "x.score")
+            ids, v, lists = _columns(table)
+            least = table.column("least").to_numpy()
+            # no row of a list is nearer than the angle to its center less its spread
+            reach = np.cos(np.maximum(_angles(_unit(v) @ found.centers.T) - spread - 1e-6, 0))
+            open_ = (reach >= least[:, None] - 1e-9) & (spread >= 0)
+            open_[np.arange(len(ids)), lists] = False
+            if open_.any():
+                others.append(_search_block(index, found, ids, v, open_, np.where(least < -1, -np.inf, least), k))
+    best = _best_of_tasks([first, *others])
     order = "row_number() over (partition by query_id order by tie desc, vec_id)"
     return best.withColumn("rank", F.expr(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _columns(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return table.column("vec_id").to_numpy(), _matrix(table.column("v").combine_chunks()), table.column("list").to_numpy()
