@@ -41,8 +41,9 @@ MARKS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "banner", "sponsor", "sponsored", "promo", "promotion", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "footer", "masthead",
     "comment", "comments", "disqus", "replies", "respond", "cookie", "cookies", "consent", "gdpr", "notice", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "related", "recommended", "widget", "pagination", "pager", "toolbar", "skip", "complementary", "contentinfo", "search",
 }
-#: Elements a paragraph ends at.
+#: Elements a paragraph ends at, and those that keep paragraphs around them open.
 _ENDS_P = BLOCK - {"body", "html"}
+_AROUND = {"applet", "button", "caption", "html", "marquee", "object", "table", "td", "template", "th"}
 
 
 class Block(NamedTuple):
@@ -80,9 +81,10 @@ class Page:
         self.tokens: list[int] = []
         self.has_article = False
         self._stack: list[tuple[str, int, bool]] = []  # tag, kind of noise (2 an element's, 1 a mark's), article
-        self._noise, self._inside, self._heading = 0, 0, 0
+        self._noise, self._inside = 0, 0
         self._buffer: list[str] = []
-        self._path = ""
+        self._paths = [0]  # hashes of the open elements' tags, from the outermost to each of them
+        self._paragraphs = 0
         self._read(html)
 
     def _read(self, html: str) -> None:
@@ -117,7 +119,7 @@ class Page:
             self._buffer = []
             if text:
                 inside = self._inside > 0
-                token = 0 if inside else _hash(self._path, text)
+                token = 0 if inside else _hash(str(self._paths[-1]), text)
                 self.blocks.append(Block(text, inside, token))
                 if not inside:
                     self.tokens.append(token)
@@ -127,7 +129,7 @@ class Page:
             self._flush()
         elif tag == "br":
             self._text("\n")
-        if tag in _ENDS_P and any(t == "p" for t, _, _ in self._stack[-6:]):
+        if tag in _ENDS_P and self._paragraphs and self._in_paragraph():
             self._close("p")
         if tag == "li" and self._stack and self._stack[-1][0] == "li":
             self._close("li")
@@ -147,9 +149,18 @@ class Page:
             article = False
         self._stack.append((tag, noise, article))
         self._noise += noise > 0
+        self._paragraphs += tag == "p"
+        self._paths.append(_hash(str(self._paths[-1]), tag))
         if not self._inside:
-            self._path = f"{self._path}/{tag}" if len(self._path) < 400 else self._path
-            self.tokens.append(_hash(self._path, "<"))
+            self.tokens.append(_hash(str(self._paths[-1]), "<"))
+
+    def _in_paragraph(self) -> bool:
+        for tag, _, _ in reversed(self._stack):
+            if tag == "p":
+                return True
+            if tag in _AROUND:
+                return False
+        return False
 
     def _close(self, tag: str) -> None:
         for k in range(len(self._stack) - 1, -1, -1):
@@ -159,12 +170,12 @@ class Page:
             return
         if tag in BLOCK or any(t in BLOCK for t, _, _ in self._stack[k:]):
             self._flush()
-        for _, noise, article in self._stack[k:]:
+        for t, noise, article in self._stack[k:]:
             self._noise -= noise > 0
             self._inside -= article
+            self._paragraphs -= t == "p"
         del self._stack[k:]
-        if not self._inside:
-            self._path = "".join(f"/{t}" for t, _, _ in self._stack)[:400]
+        del self._paths[k + 1 :]
 
 
 def text_of_page(page: Page, classes: list[tuple[int, list[list[int]]]]) -> str:
