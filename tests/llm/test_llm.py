@@ -231,6 +231,44 @@ def test_templates_of_a_part_of_a_host(spark):
     assert sorted((r["page_id"], r["text"]) for r in got) == sorted(want)
 
 
+def test_classes_by_brute_force(spark):
+    """Tokens with the same set of pages, from the pages' sets themselves."""
+    rng = random.Random(13)
+    rows = []
+    for host in ("a", "b"):
+        shared = [[rng.randrange(1, 1 << 40) for _ in range(rng.randint(1, 5))] for _ in range(12)]
+        for _ in range(40):
+            tokens = [t for some in shared if rng.random() < 0.4 for t in some] + [rng.randrange(1, 1 << 40)]
+            rows.append((host, rng.getrandbits(62), tokens))
+    rows += rows[:7]  # pages of equal content count once
+    got = templates_of(spark, rows)
+    want = set()
+    for host in ("a", "b"):
+        pages = {shape: tokens for h, shape, tokens in rows if h == host}
+        on = {}
+        for shape, tokens in pages.items():
+            for t in tokens:
+                on.setdefault(t, set()).add(shape)
+        classes = {}
+        for t, some in on.items():
+            classes.setdefault(frozenset(some), set()).add(t)
+        want |= {(host, len(some), frozenset(c)) for some, c in classes.items() if len(some) >= html_text.CLASS_PAGES and len(c) >= html_text.CLASS_SIZE}
+    assert got == want and len(want) > 5
+
+
+def templates_of(spark, rows):
+    parsed = spark.createDataFrame(rows, "host string, shape long, once array<long>")
+    return {(r["__host"], r["pages"], frozenset(r["c"])) for r in html_text.templates(parsed).collect()}
+
+
+def test_deep_pages():
+    deep = "<div>" * 300 + "<p>" + "<b>" * 20 + "one<div>two</div>" + "</div>" * 300 + "three"
+    assert html_text.text_of_page(html_text.Page(deep), []) == "one\ntwo\nthree"
+    # elements that differ only far down have different tokens
+    tails = [html_text.Page("<div>" * 200 + f"<{t}>x</{t}>").tokens for t in ("ul", "ol")]
+    assert tails[0][:200] == tails[1][:200] and tails[0][200:] != tails[1][200:]
+
+
 def test_classes_must_nest():
     assert html_text.valid_classes([1, 2, 3, 4, 5, 6], [[1, 6], [2, 3], [4, 5]]) == [[1, 6], [2, 3], [4, 5]]
     assert html_text.valid_classes([1, 2, 3, 4], [[1, 3], [2, 4]]) == [[1, 3]]
@@ -283,6 +321,32 @@ def test_neighbours_in_a_crowd(spark):
         assert [got[q][k] for k in range(1, 6)] == np.lexsort((np.arange(4500), -s))[:5].tolist()
 
 
+def test_neighbours_in_clusters(spark, monkeypatch):
+    """Lists that cannot hold a neighbour are not asked, and none is missed."""
+    rng = np.random.default_rng(4)
+    middles = rng.standard_normal((40, 16))
+    table = middles[rng.integers(0, 40, 4000)] + 0.05 * rng.standard_normal((4000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(table)], "vec_id long, embedding array<double>")
+    asked = []
+    real = neighbours._search_block
+    monkeypatch.setattr(neighbours, "_search_block", lambda *x: asked.append((len(x[2]), int(x[4].sum()))) or real(*x))
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 30)
+    got = {}
+    for r in neighbours.search(df).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    unit = table / np.linalg.norm(table, axis=1, keepdims=True)
+    for q in range(0, 4000, 50):
+        s = np.round(unit @ unit[q], 12)
+        s[q] = -2
+        assert [got[q][k] for k in range(1, 6)] == np.lexsort((np.arange(4000), -s))[:5].tolist()
+    assert sum(n for n, _ in asked) >= 80 and sum(lists for _, lists in asked) < 80 * 256 / 4
+
+
+def test_blocks_of_lists():
+    places = neighbours._blocks_of_lists({0: 10, 3: 15, 4: 90, 9: 5}, 30)
+    assert places == {0: (0, 1), 3: (0, 1), 4: (1, 6), 9: (7, 1)}
+
+
 def test_neighbours_repeated_rows(spark):
     rng = np.random.default_rng(2)
     rows = [(i, rng.standard_normal(8).tolist()) for i in range(120)]

@@ -60,9 +60,9 @@ def _grams(rows: DataFrame, *keep: str) -> DataFrame:
     The url is lower-cased and ends in ``$``; contexts before its beginning are filled with ``^``.
     """
     said = F.concat(F.lit("^" * ORDER), F.regexp_replace(F.translate(F.coalesce("url", F.lit("")), _UPPER, _LOWER), OTHER, "*"), F.lit("$"))
-    rows = rows.withColumn("__said", said)
-    # F.transform over positions reads __said more than once, so it stays a column of its own
-    ends = F.transform(F.sequence(F.lit(1), F.char_length("__said") - ORDER), lambda i: F.substring(F.col("__said"), i, F.lit(ORDER + 1)))
+    # an array of characters, since a place in a string is found only by walking there
+    rows = rows.withColumn("__said", F.split(said, ""))
+    ends = F.transform(F.sequence(F.lit(0), F.size("__said") - ORDER - 1), lambda i: F.concat(*[F.get("__said", i + j) for j in range(ORDER + 1)]))
     rows = rows.select(*keep, F.explode_outer(ends).alias(f"g{ORDER}"))
     return rows.select(*keep, *[F.substring(F.col(f"g{ORDER}"), ORDER + 1 - k, k + 1).alias(f"g{k}") for k in range(ORDER + 1)])
 
