@@ -339,13 +339,15 @@ def repeated_intervals(docs: DataFrame) -> DataFrame:
     phrases = materialize(parse(docs))
     place = F.struct("doc_id", "tag", "start", "windows", "lead")
     counted = materialize(phrases.groupBy("gram", "phrase").agg(F.count("*").alias("n"), F.min(place).alias("first")).select("gram", "phrase", "n", "first.*"))
-    found = [_places_of(phrases, counted.where("n > 1"))]
+    found = [materialize(_places_of(phrases, counted.where("n > 1")))]
+    release(phrases)
 
     # only triggers of several phrases have something to compare; those of one are most of all
     mixed = materialize(counted.groupBy("gram").agg(F.count("*").alias("phrases")).where("phrases > 1"))
     crowded = checked_broadcast(mixed.where(F.col("phrases") > CROWD))
     sparse = counted.join(crowded.select("gram"), "gram", "left_anti").join(mixed.where(F.col("phrases") <= CROWD), "gram")
     dictionary = materialize(sparse.unionByName(counted.join(crowded, "gram")))
+    release(counted, mixed)
     part = F.struct("gram", "phrase", "start", "windows", "lead", (F.col("n") == 1).alias("alone"))
     few = _with_text(docs, dictionary.where(F.col("phrases") <= CROWD), part, _phrase_batches, "gram long, start int, lead int, alone boolean, bytes binary")
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -363,7 +365,7 @@ def repeated_intervals(docs: DataFrame) -> DataFrame:
 
     spans = reduce(DataFrame.union, found).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("at"))
     spans = materialize(spans.select("doc_id", "tag", F.col("at.start").alias("starts"), F.col("at.end").alias("ends")))
-    release(phrases, counted, mixed, dictionary, *([windows] if windows is not None else []))
+    release(found[0], dictionary, *([windows] if windows is not None else []))
     return spans
 
 
