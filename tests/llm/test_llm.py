@@ -127,6 +127,49 @@ def test_language(spark):
     assert {900, 901, 902}.isdisjoint({r["doc_id"] for r in kept.collect()}) and kept.columns == df.drop("score").columns
 
 
+def slow_grams(text):
+    """Buckets of the n-grams, as the docstrings of language say: lower-case letters, one mark for what lies between."""
+    out = [0]
+    for c in text:
+        x = 0
+        if c.isalpha():
+            x = ord(c.lower()) if len(c.lower()) == 1 else ord(c)
+        if x or out[-1]:
+            out.append(x)
+    found = []
+    for n in (1, 2, 3, 4):
+        for i in range(len(out) - n + 1):
+            h = n * 0x165667B1 % 2**32
+            for x, f in zip(out[i : i + n], (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)):
+                h = (h ^ x) * f % 2**32
+                h ^= h >> 15
+            found.append(h % language.BUCKETS)
+    return found
+
+
+def test_language_is_naive_bayes(spark):
+    from collections import Counter
+    from math import exp, log
+
+    rng = random.Random(21)
+    shared = {"aa": WORDS[:30], "bb": WORDS[20:50], "cc": WORDS[:10] + WORDS[40:]}
+    rows = [(i, prose(rng, rng.randint(1, 6), shared[lang]), lang if i % 9 else None) for i in range(120) for lang in [rng.choice(["aa", "bb", "cc", "aa"])]]
+    out = {r["doc_id"]: r for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    learned = [(t, lang) for i, t, lang in rows if lang and zlib.crc32(str(i).encode()) % 5]
+    names = sorted({lang for _, lang in learned})
+    counts = {lang: Counter(g for t, x in learned if x == lang for g in slow_grams(t)) for lang in names}
+    for i, t, _ in rows:
+        logs = []
+        for lang in names:
+            total = sum(counts[lang].values()) + 0.5 * language.BUCKETS
+            prior = log(sum(x == lang for _, x in learned) / len(learned))
+            logs.append(prior + sum(log((counts[lang][g] + 0.5) / total) for g in slow_grams(t)))
+        best = max(range(len(names)), key=lambda k: logs[k])
+        assert out[i]["lang_pred"] == names[best]
+        assert out[i]["score"] == pytest.approx(1 / sum(exp(x - logs[best]) for x in logs), abs=1e-9)
+    assert 0 < sum(r["score"] < 0.9 for r in out.values())
+
+
 def test_documents_stay_without_labels(spark):
     df = spark.createDataFrame([(1, "some words", None), (2, "12 !", None), (3, None, None), (4, "é", None), (4, "é", None)], "doc_id long, text string, lang string")
     assert sorted(r["doc_id"] for r in language.recognised(df).collect()) == [1, 4, 4]
@@ -193,6 +236,30 @@ def test_secrets(spark):
     assert secrets.report(df.limit(0)).count() == 0
 
 
+def test_ownership_by_brute_force(spark):
+    rng = random.Random(22)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    values = ["Aa0" + "".join(rng.choice(letters) for _ in range(25)) for _ in range(25)]
+    rows = []
+    for i in range(150):
+        some = [rng.choice(values[: rng.choice([5, 25])]) for _ in range(rng.randint(0, 3))]
+        rows.append((i, "; ".join(["text", *some]), rng.choice(["o1", "o2", "o3", "o4", None])))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    owners = {v: {o for _, t, o in rows if v in t.split("; ")} for v in values}
+    owned = 0
+    for r in secrets.report(df).collect():
+        text = rows[r["doc_id"]][1]
+        want, at = [], 0
+        for word in text.split("; "):
+            if word in owners and len(owners[word]) < secrets.EXAMPLE_OWNERS:
+                want.append(f"owned:{at}:{at + len(word)}")
+            at += len(word) + 2
+        got = [x for x in r["spans"].split(",") if x.startswith("owned")]
+        assert got == want
+        owned += len(want)
+    assert 0 < owned < sum(t.count("; ") for _, t, _ in rows)
+
+
 # 5 html
 
 
@@ -575,6 +642,35 @@ def test_url_models(spark):
         assert got[i] == pytest.approx(sum(per) / len(per), abs=1e-6)
 
 
+def test_verdicts_by_brute_force(spark):
+    """The threshold and the verdicts of urls without a rule, from the models of slow_models."""
+    from statistics import fmean, pstdev
+
+    rng = random.Random(23)
+    hosts = ["good.org", "fine.org", "bad.example.org", "worse.com", "b.com", "other.net", "x.info"]
+    paths = ["/a", "/es/9", "/en/12", "/fr/1", "/de/x", "/de/long/path", "/", ""]
+    some = [f"http://{rng.choice(hosts)}{rng.choice(paths)}{rng.choice(['', '1', 'q?z'])}" for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(some)), "page_id long, url string")
+    ruled = [slow_rule(u)[3] for u in some]
+    said, ratios = slow_models([(u, v) for u, v in zip(some, ruled) if v])
+
+    def score(u):
+        s = said(u)
+        return fmean(next((ratios[s[j - k : j + 1]] for k in range(urls.ORDER, -1, -1) if s[j - k : j + 1] in ratios), 0.0) for j in range(urls.ORDER, len(s)))
+
+    by = {v: [score(u) for u, x in zip(some, ruled) if x == v] for v in ("allow", "block")}
+    sa, sb = (pstdev(by[v]) + 1e-9 for v in ("allow", "block"))
+    threshold = (fmean(by["allow"]) * sb + fmean(by["block"]) * sa) / (sa + sb)
+    got = {r["page_id"]: r for r in urls.judge(df).collect()}
+    free = 0
+    for i, (u, v) in enumerate(zip(some, ruled)):
+        assert got[i]["score"] == pytest.approx(score(u), abs=1e-6)
+        if v is None and abs(score(u) - threshold) > 1e-5:
+            free += 1
+            assert got[i]["verdict"] == ("block" if score(u) < threshold else "allow")
+    assert free > 20
+
+
 # 9 repeats
 
 

@@ -31,3 +31,20 @@ def test_pipeline(spark, tmp_path):
     assert got == want and 200 not in got and 100 not in got and 201 in got
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "simhash_near_dedup", "benchmark_decontamination", "secret_scan", "byte_level_bpe"]
     assert language.LEAST_SCORE <= 0.5
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """No rows at all; repeated rows, null ids and texts, very long texts, and columns whose names the stages use."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, tag int, score string"
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    rng = random.Random(14)
+    long_ = prose(rng, 150_000)
+    rows = [(1, "alpha beta gamma delta epsilon zeta")] * 3 + [(2, None), (3, ""), (None, "quite another text without an id"), (5, long_)]
+    table = [(i, t, None, "s", len(t or ""), 7, "x") for i, t in rows]
+    spark.createDataFrame(table, schema).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    found = corpus_pipeline.run(spark, str(tmp_path))
+    encoding = reference_encoding()
+    assert {r["doc_id"]: r["ids"] for r in found.collect()} == {i: encoding.encode_ordinary(t) for i, t in rows if t}
+    assert found.count() == 3 and found.columns == ["doc_id", "lang", "source", "n_chars", "tag", "score", "ids", "n_tokens"]
