@@ -107,3 +107,71 @@ def test_reducers():
     code = vectors.fit_information_bottleneck(x, y, 4)(x)
     assert abs(np.corrcoef(code @ np.linalg.lstsq(code, y, rcond=None)[0], y)[0, 1]) > 0.6
     assert np.isfinite(vectors.fit_autoencoder(x, 4, 50)(x)).all()
+
+
+def test_lines_of_several_files_and_splits(spark, tmp_path):
+    lines = [f"{i},{'x' if i % 7 == 0 else i * 2}" if i % 5 else f"# note {i}" for i in range(3000)]
+    for k in range(3):
+        (tmp_path / f"part-{k}.txt").write_text("\n".join(lines[k * 1000 : (k + 1) * 1000]) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")  # several splits a file
+    try:
+        numbered = {r["n"]: r["value"] for r in R.numbered_lines(spark, str(tmp_path)).collect()}
+        rows = {r["n"]: r["values"] for r in R.number_lists(R.numbered_lines(spark, str(tmp_path))).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert numbered == dict(enumerate(lines))
+    assert rows == {i: [float(i)] if i % 7 == 0 else [float(i), 2.0 * i] for i in range(3000) if i % 5}
+
+
+def test_stream_encoder_tries_a_batch_again(spark, tmp_path):
+    from tideline.streaming.encoder import StreamEncoder
+
+    rows = [(i, f"v{(i * i) % 17}" if i % 6 else None, 100 + 3 * i) for i in range(60)]
+    df = spark.createDataFrame(rows, "seq long, value string, t long").withColumnRenamed("value", "name")
+    encoder = StreamEncoder(spark, ["name"], str(tmp_path), step="t", width=10)
+    for batch, (a, b) in enumerate(((0, 20), (20, 45), (45, 60))):
+        for _ in range(1 + (batch == 1)):
+            encoder.encode_batch(df.where((F.col("seq") >= a) & (F.col("seq") < b)), batch)
+    codes, want = {}, {}
+    for i, v, t in rows:
+        want[i] = (0 if v is None else codes.setdefault(v, len(codes) + 1), (t - 100) // 10)
+    assert {r["seq"]: (r["name"], r["step"]) for r in encoder.codes().collect()} == want
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    table = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(80)] + [(100 + i, [1.0] * 6) for i in range(5)] + [(200, None), (201, [0.0] * 6)]
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 3)
+    df = spark.createDataFrame(table, "id long, v array<double>").withColumnRenamed("id", "vec_id")
+    got = {}
+    for r in vectors.nearest(df.where("vec_id % 10 = 0"), df, "vec_id", "v", 4).collect():
+        got.setdefault(r["query"], {})[r["rank"]] = r["id"]
+    norm = lambda v: sum(x * x for x in v) ** 0.5
+    good = [(i, v) for i, v in table if v and any(v)]
+    for q, a in good:
+        if q % 10 == 0:
+            near = sorted((-round(sum(x * y for x, y in zip(a, b)) / norm(a) / norm(b), 12), i) for i, b in good if i != q)
+            assert [got[q][k] for k in range(1, 5)] == [i for _, i in near[:4]]
+
+
+def test_reducers_keep_their_results():
+    """Fixed inputs; what the reducers gave when they were checked by hand."""
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((200, 3)) @ np.array([[3.0, 0, 0, 1], [0, 1, 0, 0], [0, 0, 0.1, 0]])
+    axes = vectors.fit_pca(x, 2)
+    z = (x - x.mean(0)) / x.std(0)
+    values = np.linalg.eigvalsh(z.T @ z / len(z))[::-1]
+    assert np.allclose(axes(x).var(0), values[:2])  # the variances are the largest eigenvalues
+    code = vectors.fit_autoencoder(x, 4, epochs=600)(x)
+    back, *_ = np.linalg.lstsq(np.c_[code, np.ones(len(x))], z, rcond=None)
+    left = ((np.c_[code, np.ones(len(x))] @ back - z) ** 2).mean()
+    assert left < 0.6 * (z**2).mean()
+    y = (x[:, 1] > 0).astype(float)
+    kept = vectors.fit_information_bottleneck(x, y, 2, epochs=300)(x)
+    best = max(abs(np.corrcoef(kept[:, k], y)[0, 1]) for k in range(2))
+    assert best > 0.6
