@@ -235,7 +235,7 @@ class Folded(NamedTuple):
         ends = lambda x: np.cumsum(x).astype(np.uint32).tobytes()
         sizes = pc.binary_length(words).to_numpy()
         return Folded(
-            keys.tobytes(), starts.tobytes(), (ends(sizes), b"".join(words.to_pylist())),
+            keys.tobytes(), starts.tobytes(), (ends(sizes), words.buffers()[2].to_pybytes()),
             (ends(lists.value_lengths().to_numpy()), lists.flatten().to_numpy().astype(np.uint32).tobytes()), bits,
         )
 
@@ -367,19 +367,20 @@ class Codec:
 _codecs: dict[str, Codec] = {}
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, ids: bool = True, count: bool = False, digest: bool = False, spaced: bool = False) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, pattern: str, ids: bool = True, count: bool = False, digest: bool = False, spaced: bool = False, dictionary: bool = True) -> DataFrame:
     """The rows of ``docs`` without text, with ``ids`` (array<int>), ``n_tokens``, or digests of ids and decoded bytes.
 
     ``vocabulary`` is a rank file on the driver; its bytes go to the workers, a bound set by the file. Each
     match of ``pattern`` is encoded by itself; what no match covers is left out. ``spaced`` promises that
     ``pattern`` is of the kind that Splitter cuts at spaces. The distinct words of all texts are folded first
-    (``fold``) and looked up then; words too long or too rare for that are merged where they occur. A null text
+    (``fold``) and looked up then; words too long or too rare for that are merged where they occur, and so are all
+    without ``dictionary``, which spares the driver the fold's plan and the words. A null text
     is empty and has no ids. Long texts are encoded in runs, and digests are updated run by run. Repeated rows
     stay; an empty table gives no rows; other columns stay unless they have a name of those added.
     """
     with open(vocabulary, "rb") as f:
         lines = f.read()
-    folded = fold(docs.select("text"), _ranks(lines), pattern, spaced)
+    folded = fold(docs.select("text"), _ranks(lines), pattern, spaced) if dictionary else None
     sent, name = docs.sparkSession.sparkContext.broadcast((lines, folded)), uuid.uuid4().hex
     keep = [c for c in docs.columns if c not in ("text", "ids", "n_tokens", "ids_sha256", "decoded_sha256")]
     made = {"ids": "ids array<int>"} if ids else {}
