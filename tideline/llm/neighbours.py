@@ -163,6 +163,7 @@ def build(rows: DataFrame, k: int = 5) -> tuple[DataFrame, Books | None]:
 
     indexed = entries.select("ids", "v").mapInArrow(run, "list int, ids array<long>, v array<double>, codes binary, norm double, angle double, spread double")
     order = ["list", "codes", F.xxhash64(F.col("ids")[0])]
+    indexed = materialize(indexed)  # ranges are sampled first, which would encode all vectors twice
     return materialize(indexed.repartitionByRange(*order).sortWithinPartitions(*order)), found
 
 
