@@ -3,7 +3,8 @@
 import random
 
 import corpus_pipeline
-from tideline.llm import language
+import public_tokenizers
+from tideline.llm import bpe, language
 
 from .test_llm import WORDS, base_spans, prose, reference_encoding, shingle_set, slow_components, slow_fingerprint
 
@@ -48,3 +49,29 @@ def test_pipeline_edges(spark, tmp_path):
     encoding = reference_encoding()
     assert {r["doc_id"]: r["ids"] for r in found.collect()} == {i: encoding.encode_ordinary(t) for i, t in rows if t}
     assert found.count() == 3 and found.columns == ["doc_id", "lang", "source", "n_chars", "tag", "score", "ids", "n_tokens"]
+
+
+def test_pipeline_folds_words(spark, monkeypatch):
+    """The last stage folds the distinct words of all texts, and Spark keeps no description with the rank map in it."""
+    folds, fold = [], bpe.fold
+    monkeypatch.setattr(bpe, "fold", lambda *a, **b: folds.append(fold(*a, **b)) or folds[-1])
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    texts = ["thererhly zqxjk", "zqxjk straßenbahnhaltestelle 漢字漢", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["ids"] for r in corpus_pipeline.encode_tokens(spark, docs, "").collect()}
+    encoding, ranks = reference_encoding(), bpe.load_ranks(corpus_pipeline.VOCABULARY)
+    assert got == {i: encoding.encode_ordinary(t or "") for i, t in enumerate(texts)}
+    assert len(folds) == 1
+    codec = bpe.Codec(ranks, bpe.Splitter(public_tokenizers.PATTERN, True), folds[0])
+    for word in ("thererhly", " zqxjk", "zqxjk", " straßenbahnhaltestelle", " 漢字漢"):
+        assert codec.looked_up(word.encode()) == encoding._encode_single_piece(word.encode())
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    kept = [store.executionsList(k, 1).apply(0) for k in range(before, store.executionsCount())]
+    assert kept and all(len(x.physicalPlanDescription()) < 100_000 for x in kept)
+    assert all(len(node.desc()) < 100_000 for x in kept for node in nodes(store.planGraph(x.executionId())))
+
+
+def nodes(graph):
+    found = graph.allNodes()
+    return [found.apply(k) for k in range(found.size())]

@@ -12,6 +12,7 @@ import uuid
 from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from itertools import islice
 from struct import pack
 from typing import NamedTuple
@@ -21,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, release, text_of
@@ -137,6 +138,20 @@ def _bound(x: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(x), body), F.lit(0))
 
 
+@contextmanager
+def _terse(spark: SparkSession) -> Iterator[None]:
+    """Plans of jobs begun here are described without their columns: Spark keeps descriptions as long as the driver
+    lives, and each would hold the literal rank map as text, several times.
+    """
+    key = "spark.sql.debug.maxToStringFields"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "0")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 # Texts as words
 
 
@@ -231,6 +246,7 @@ class Folded(NamedTuple):
         bits = max(1, len(keys).bit_length())
         edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
         starts = np.r_[np.searchsorted(keys, edges), len(keys)].astype(np.uint32)
+        del edges, order
         words, lists = table.column("word").combine_chunks().cast(pa.binary()), table.column("ids").combine_chunks()
         ends = lambda x: np.cumsum(x).astype(np.uint32).tobytes()
         sizes = pc.binary_length(words).to_numpy()
@@ -280,8 +296,10 @@ def fold(docs: DataFrame, ranks: dict[bytes, int], pattern: str, spaced: bool, l
 
     Their size grows with the corpus, so it is checked: only the most frequent words, by powers of two of their
     number, whose entries are sure to fit in ``limit`` bytes (DICTIONARY_BYTES) are folded. Workers merge the others as they meet
-    them, with the same ids.
+    them, with the same ids. The words to fold are written first, so that the plan with the literal rank map is one
+    stage without a shuffle, which Spark neither plans nor describes again while it runs.
     """
+    spark = docs.sparkSession
     words = materialize(distinct_words(docs, ranks, pattern, spaced).withColumn("level", F.floor(F.log2("n"))))
     size = F.lit(24) + 5 * F.octet_length("word")
     levels = words.groupBy("level").agg(F.sum(size).alias("size"), F.count("*").alias("n")).orderBy(F.desc("level")).collect()
@@ -290,12 +308,16 @@ def fold(docs: DataFrame, ranks: dict[bytes, int], pattern: str, spaced: bool, l
         if held + r["size"] > (DICTIONARY_BYTES if limit is None else limit):
             break
         held, count, least = held + r["size"], count + r["n"], r["level"]
-    found = None
-    if count:
-        # few bytes, much work for each: dealt out by number, not by size
-        chosen = words.where(F.col("level") >= least).repartition(max(1, -(-count // 20_000)), "word")
-        found = Folded.of(chosen.select("word", F.xxhash64("word").alias("h"), fold_merges(F.col("word"), ranks).cast("array<int>").alias("ids")).toArrow())
+    if not count:
+        release(words)
+        return None
+    # few bytes, much work for each: dealt out by number, not by size
+    chosen = materialize(words.where(F.col("level") >= least).select("word").repartition(max(1, -(-count // 20_000)), "word"))
     release(words)
+    with _terse(spark):
+        found = Folded.of(chosen.select("word", F.xxhash64("word").alias("h"), fold_merges(F.col("word"), ranks).cast("array<int>").alias("ids")).toArrow())
+    pa.default_memory_pool().release_unused()
+    release(chosen)
     return found
 
 
@@ -367,20 +389,19 @@ class Codec:
 _codecs: dict[str, Codec] = {}
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, ids: bool = True, count: bool = False, digest: bool = False, spaced: bool = False, dictionary: bool = True) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, pattern: str, ids: bool = True, count: bool = False, digest: bool = False, spaced: bool = False) -> DataFrame:
     """The rows of ``docs`` without text, with ``ids`` (array<int>), ``n_tokens``, or digests of ids and decoded bytes.
 
     ``vocabulary`` is a rank file on the driver; its bytes go to the workers, a bound set by the file. Each
     match of ``pattern`` is encoded by itself; what no match covers is left out. ``spaced`` promises that
     ``pattern`` is of the kind that Splitter cuts at spaces. The distinct words of all texts are folded first
-    (``fold``) and looked up then; words too long or too rare for that are merged where they occur, and so are all
-    without ``dictionary``, which spares the driver the fold's plan and the words. A null text
+    (``fold``) and looked up then; words too long or too rare for that are merged where they occur. A null text
     is empty and has no ids. Long texts are encoded in runs, and digests are updated run by run. Repeated rows
     stay; an empty table gives no rows; other columns stay unless they have a name of those added.
     """
     with open(vocabulary, "rb") as f:
         lines = f.read()
-    folded = fold(docs.select("text"), _ranks(lines), pattern, spaced) if dictionary else None
+    folded = fold(docs.select("text"), _ranks(lines), pattern, spaced)
     sent, name = docs.sparkSession.sparkContext.broadcast((lines, folded)), uuid.uuid4().hex
     keep = [c for c in docs.columns if c not in ("text", "ids", "n_tokens", "ids_sha256", "decoded_sha256")]
     made = {"ids": "ids array<int>"} if ids else {}
