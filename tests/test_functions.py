@@ -175,3 +175,18 @@ def test_reducers_keep_their_results():
     kept = vectors.fit_information_bottleneck(x, y, 2, epochs=300)(x)
     best = max(abs(np.corrcoef(kept[:, k], y)[0, 1]) for k in range(2))
     assert best > 0.6
+
+
+def test_stream_keeps_the_first_row_of_a_batch(spark, tmp_path):
+    """Batches with many rows of a key, in no order; keys far behind the newest time are forgotten."""
+    from tideline.streaming import scorer as S
+
+    day = lambda d: dt.datetime(2024, 1, 1) + dt.timedelta(days=d)
+    batches = [[(9, 1, day(0)), (3, 1, day(0)), (5, 2, day(1)), (4, 2, day(0)), (6, None, day(1))], [(11, 1, day(2)), (12, 3, day(9)), (10, 3, day(2)), (13, None, day(2))], [(20, 1, day(9)), (21, 3, day(9)), (22, 4, day(1))]]
+    kind = "seq long, user long, ts timestamp"
+    for b, rows in enumerate(batches):
+        spark.createDataFrame(rows, kind).coalesce(1).write.parquet(f"{tmp_path}/in/{b}")
+    for late, want in (("400 days", {(1, 3), (2, 4), (None, 6), (3, 10), (4, 22)}), ("3 days", {(1, 3), (2, 4), (None, 6), (3, 10), (1, 20), (3, 21)})):
+        stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+        got = S.deduplicated(stream, "ts", "user", "seq", late, f"{tmp_path}/{late[:1]}").collect()
+        assert {(r["user"], r["seq"]) for r in got} == want and len(got) == len(want)

@@ -91,11 +91,6 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select user_id, min(event_id) as first from events group by 1")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first row of each user, of a stream that comes in one row a user and batch at most."""
-    events = _events(spark, sf_dir)
-    firsts = events.groupBy("user_id", F.floor(F.col("seq") / 1000).alias("part")).agg(F.min_by(F.struct("seq", "ts"), "seq").alias("x")).select("x.*", "user_id")
-    n = (events.agg(F.max("seq").alias("n")).first()["n"] or 0) + 1
-    folder, stream = _files(firsts, min(4, -(-n // 1000)))
-    rows = T.run_to_end(T.deduplicated(stream, "ts", "user_id", "400 days"), folder, "append")
-    # rows of one batch come in no order: those of a batch of several parts are reduced once more
-    return rows.groupBy("user_id").agg(F.min("seq").alias("first"))
+    """The first row of each user, over a stream in batches that hold many rows of a user."""
+    folder, stream = _files(_events(spark, sf_dir), 4)
+    return T.deduplicated(stream, "ts", "user_id", "seq", "400 days", folder).select("user_id", F.col("seq").alias("first"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import scorer as S
+from ..operators.encode import keep_first
 from ..operators.prefix import dense_numbers, running
 from ..params import ScorerParams
 from ..tables import materialize, run_dir
@@ -99,9 +100,30 @@ def sessions(stream: DataFrame, ts: str, key: str, gap: str, late: str) -> DataF
     return rows.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n")
 
 
-def deduplicated(stream: DataFrame, ts: str, key: str, late: str) -> DataFrame:
-    """The first row of each key within the watermark."""
-    return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
+def deduplicated(stream: DataFrame, ts: str, key: str, seq: str, late: str, folder: str) -> DataFrame:
+    """The first row by ``seq`` of each key, after everything available has been read; batches come in order.
+
+    A batch, whatever rows of a key it holds, is reduced to its keys' first rows, and those whose key came before are left
+    out. The keys met are a table in ``folder``, written by batch number; they and rows are dropped when they are ``late``
+    behind the newest time of the batches before.
+    """
+    spark, kind = stream.sparkSession, stream.schema
+    state = ", ".join(f"{c} {kind[c].dataType.simpleString()}" for c in dict.fromkeys((key, ts)))
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows = materialize(rows)
+        read = lambda name: spark.read.schema(state).parquet(f"{folder}/{name}-{batch - 1}") if batch > 0 else spark.createDataFrame([], state)
+        newest = read("newest").agg(F.max(ts).alias("m"))
+        due = lambda df: df.join(F.broadcast(newest), F.col("m").isNull() | (F.col(ts) >= F.col("m") - F.expr(f"interval {late}"))).drop("m")
+        known = due(read("keys"))
+        firsts = keep_first(due(rows), key, seq).join(known.select(F.col(key).alias("__known")), F.col(key).eqNullSafe(F.col("__known")), "left_anti")
+        firsts.write.mode("overwrite").parquet(f"{folder}/firsts-{batch}")
+        firsts = spark.read.schema(rows.schema).parquet(f"{folder}/firsts-{batch}")
+        known.unionByName(firsts.select(*known.columns)).write.mode("overwrite").parquet(f"{folder}/keys-{batch}")
+        read("newest").unionByName(rows.select(*known.columns)).agg(F.max(ts).alias(ts)).write.mode("overwrite").parquet(f"{folder}/newest-{batch}")
+
+    stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(kind).parquet(f"{folder}/firsts-*")
 
 
 def run_to_end(result: DataFrame, folder: str, mode: str) -> DataFrame:
