@@ -190,3 +190,41 @@ def test_stream_keeps_the_first_row_of_a_batch(spark, tmp_path):
         stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
         got = S.deduplicated(stream, "ts", "user", "seq", late, f"{tmp_path}/{late[:1]}").collect()
         assert {(r["user"], r["seq"]) for r in got} == want and len(got) == len(want)
+
+
+def test_pairs_in_blocks(spark, monkeypatch):
+    """Several blocks a group, uneven vectors, repeated ids: the pairs and measures of a plain join."""
+    import numpy as np
+
+    monkeypatch.setattr(vectors, "PAIR_BLOCK", 8)
+    monkeypatch.setattr(vectors, "PAIR_SLICE", 3)
+    rng = np.random.default_rng(5)
+    rows = [(i % 3, i, [float(x) for x in rng.integers(-3, 4, 4)]) for i in range(70)]
+    rows += [(0, 3, [1.0, 2.0, 3.0, 4.0]), (0, 200, None), (0, 201, [1.0, None, 2.0, 3.0]), (1, 202, [1.0]), (1, 203, [2.0]), (2, 204, [0.0] * 4), (2, 205, []), (None, 206, [1.0] * 4), (2, None, [1.0] * 4), (5, 207, [1.0] * 4)]
+    df = spark.createDataFrame(rows, "g int, id long, v array<float>")
+    whole = lambda v: v is not None and None not in v
+    want = []
+    for g, i, v in rows:
+        for h, j, w in rows:
+            if g is not None and g == h and None not in (i, j) and i != j:
+                fit = whole(v) and whole(w) and len(v) == len(w)
+                norm = np.linalg.norm(v) * np.linalg.norm(w) if fit else 0
+                want.append((g, i, j, round(float(np.dot(v, w) / norm), 9) + 0.0 if norm else None, round(float(np.linalg.norm(np.subtract(v, w))), 9) if fit else None))
+    off = lambda x: None if x is None else round(x, 9) + 0.0
+    found = vectors.pairwise(df, "g", "id", "v")
+    got = [(r["g"], r["a"], r["b"], off(r["cosine"]), off(r["distance"])) for r in found.collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    half = vectors.pair_measures(df, "g", "id", {"d": ("euclidean", "v")}, ordered=False)
+    assert sorted(((r["g"], r["a"], r["b"], off(r["d"])) for r in half.collect()), key=repr) == sorted(((g, a, b, d) for g, a, b, _, d in want if a < b), key=repr)
+
+
+def test_spearman_over_ranges(spark, monkeypatch):
+    """Many ranges and ties on both sides, and equal rows beyond what a range holds."""
+    import pandas as pd
+
+    monkeypatch.setattr(V, "RANGE_ROWS", 50)
+    rows = [(float(i * 37 % 101 // 4), float(i * 53 % 89 // 3)) for i in range(900)] + [(0.0, 0.0)] * 400 + [(None, 1.0), (1.0, None)]
+    got = V.spearman(spark.createDataFrame(rows, "a double, b double"), "a", "b").first()["spearman"]
+    want = pd.DataFrame(rows[:-2], columns=["a", "b"]).rank().corr().iloc[0, 1]
+    assert abs(got - want) < 1e-12
+    assert V.spearman(spark.createDataFrame([], "a double, b double"), "a", "b").first()["spearman"] is None
