@@ -228,3 +228,37 @@ def test_spearman_over_ranges(spark, monkeypatch):
     want = pd.DataFrame(rows[:-2], columns=["a", "b"]).rank().corr().iloc[0, 1]
     assert abs(got - want) < 1e-12
     assert V.spearman(spark.createDataFrame([], "a double, b double"), "a", "b").first()["spearman"] is None
+
+
+def test_words_stay_in_arrow(spark):
+    """Words are mapped and gated without Pandas, null and empty lists and null words kept as they are."""
+    rows = [(1, ["cats", None, "cats"]), (2, None), (3, []), (4, ["a", "dog", "is", "walking"]), (5, ["a", "b", "c", "d"]), (6, ["x", "walking"])]
+    df = spark.createDataFrame(rows, "id int, w array<string>")
+    asked = []
+    tags = lambda ws: (asked.append(len(ws)), ["V" if w.endswith("ing") else "N" for w in ws])[1]
+    out = df.select("id", T.mapped(str.upper)(F.col("w")).alias("m"), T.part_of_speech_gate(tags)(F.col("w")).alias("g"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and "pandas" not in plan.lower()
+    got = {r["id"]: (r["m"], r["g"]) for r in out.collect()}
+    assert got == {1: (["CATS", None, "CATS"], []), 2: (None, None), 3: ([], []), 4: (["A", "DOG", "IS", "WALKING"], ["a", "dog", "is", "walking"]), 5: (["A", "B", "C", "D"], []), 6: (["X", "WALKING"], [])}
+    from pyspark.util import PythonEvalType
+
+    assert T.mapped(str.upper).evalType == T.part_of_speech_gate(tags).evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF
+
+
+def test_nearest_among_copies_in_slices(spark, monkeypatch):
+    """A crowd of equal vectors in slices: ties go to the smaller id, and no product is larger than a slice."""
+    import numpy as np
+
+    monkeypatch.setattr(vectors, "ROW_SLICE", 16)
+    rng = np.random.default_rng(3)
+    x = np.vstack([np.tile(rng.standard_normal(4), (60, 1)), rng.standard_normal((100, 4))]).round(3)
+    ids = rng.permutation(160)
+    df = spark.createDataFrame([(f"i{i:03}", v.tolist()) for i, v in zip(ids, x)], "id string, v array<double>")
+    got = {(r["query"], r["rank"]): r["id"] for r in vectors.nearest(df.where("id like '%0'"), df, "id", "v", 4).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for i, v in zip(ids, u):
+        if i % 10 == 0:
+            order = sorted((-round(float(v @ w), 12), j) for j, w in zip(ids, u) if j != i)[:4]
+            assert [got[f"i{i:03}", k] for k in range(1, 5)] == [f"i{j:03}" for _, j in order]
+    assert len(got) == 64

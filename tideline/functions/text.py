@@ -5,7 +5,9 @@ from __future__ import annotations
 import string
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,7 +47,7 @@ def preprocess(
 ) -> Column:
     """Clean, tokenise, gate by part of speech, lower, lemmatise, stem, drop stop words, make unique - each by its switch.
 
-    ``lemmatise`` maps a word to its lemma, ``tagger`` words to tags; they run in Pandas UDFs, since no
+    ``lemmatise`` maps a word to its lemma, ``tagger`` words to tags; they run in Arrow UDFs, since no
     dictionary comes with the library. Unique tokens are sorted.
     """
     words = tokens(clean(text) if cleaning else text)
@@ -73,13 +75,24 @@ def handle_query(handle: Column) -> Column:
     return F.concat(F.lit("@"), handle, F.lit(" OR from:"), handle, F.lit(" OR to:"), handle)
 
 
+def _sizes(lists: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+
+
+def _lists(values: pa.Array, sizes: np.ndarray, like: pa.Array) -> pa.Array:
+    """Lists of the given sizes, null where those of ``like`` are."""
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+    return pa.ListArray.from_arrays(offsets, values, mask=like.is_null() if like.null_count else None)
+
+
 def mapped(f):
-    """A Pandas UDF that applies ``f`` to each word of an array; each distinct word of a batch once."""
+    """An Arrow UDF that applies ``f`` to each word of an array; each distinct word of a batch once, no other becomes an object."""
 
-    @F.pandas_udf("array<string>")
-    def run(words: pd.Series) -> pd.Series:
-        known: dict[str, str] = {}
-        return words.map(lambda ws: None if ws is None else [known[w] if w in known else known.setdefault(w, f(w)) for w in ws])
+    @F.arrow_udf("array<string>")
+    def run(words: pa.Array) -> pa.Array:
+        codes = words.flatten().dictionary_encode()
+        made = pa.array([f(w) for w in codes.dictionary.to_pylist()], pa.string())
+        return _lists(made.take(codes.indices), _sizes(words), words)
 
     return run
 
@@ -91,17 +104,18 @@ def lemmatised(words: Column, lemmas: dict[str, str]) -> Column:
 
 
 def part_of_speech_gate(tagger):
-    """A Pandas UDF: the words if there are over three, a noun and a verb among them, else none."""
-
-    @F.pandas_udf("array<string>")
-    def run(words: pd.Series) -> pd.Series:
-        def keep(ws):
-            if ws is None:
-                return None
-            tags = tagger(list(ws)) if len(ws) > 3 else []
-            return list(ws) if any(t.startswith("N") for t in tags) and any(t.startswith("V") for t in tags) else []
-
-        return words.map(keep)
+    """An Arrow UDF: the words if there are over three, a noun and a verb among them, else none; one row's words at a time are objects."""
+
+    @F.arrow_udf("array<string>")
+    def run(words: pa.Array) -> pa.Array:
+        flat, sizes = words.flatten(), _sizes(words)
+        keep, at = np.zeros(len(sizes), bool), 0
+        for i, n in enumerate(sizes.tolist()):
+            if n > 3:
+                tags = tagger(flat.slice(at, n).to_pylist())
+                keep[i] = any(t.startswith("N") for t in tags) and any(t.startswith("V") for t in tags)
+            at += n
+        return _lists(flat.filter(pa.array(np.repeat(keep, sizes))), np.where(keep, sizes, 0), words)
 
     return run
 
