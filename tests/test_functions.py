@@ -262,3 +262,18 @@ def test_nearest_among_copies_in_slices(spark, monkeypatch):
             order = sorted((-round(float(v @ w), 12), j) for j, w in zip(ids, u) if j != i)[:4]
             assert [got[f"i{i:03}", k] for k in range(1, 5)] == [f"i{j:03}" for _, j in order]
     assert len(got) == 64
+
+
+def test_token_lists_meet_their_words_in_blocks(spark, monkeypatch):
+    """Many blocks: one numbering for all, and only a block's distinct words are joined."""
+    monkeypatch.setattr(E, "DOC_BLOCK", 4)
+    rows = [(i, [f"w{(i * j * 7) % 23}" for j in range(i % 9)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "d long, words array<string>")
+    number: dict[str, int] = {}
+    want = {d: " ".join(str(number.setdefault(w, len(number))) for w in ws) for d, ws in rows if ws}
+    assert {r["id"]: r["indices"] for r in E.token_lists(df, "d", F.col("words")).collect()} == want
+    vectors_ = spark.createDataFrame([(f"w{i}", [float(i)]) for i in range(0, 23, 2)], "word string, vec array<double>")
+    seen: dict[str, int] = {}
+    known = [(d, p, w, seen.setdefault(w, len(seen)), [float(w[1:])]) for d, ws in rows for p, w in enumerate(ws) if int(w[1:]) % 2 == 0]
+    assert sorted(map(tuple, E.embedded_tokens(df, "d", F.col("words"), vectors_).collect())) == sorted(known)
+    assert E.token_lists(df.limit(0), "d", F.col("words")).count() == 0

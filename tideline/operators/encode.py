@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..tables import materialize
 from .prefix import dense_numbers
 
+#: Rows of texts that meet their part of the vocabulary in one task.
+DOC_BLOCK = 512
+
 
 def first_seen_codes(df: DataFrame, value: str, seq: str, start: int = 1) -> DataFrame:
     """(value, code): values numbered in the order in which they first occur; code 0 stays free for what is missing."""
@@ -65,14 +72,72 @@ def fraction_sample(df: DataFrame, key: str, fraction: float, seed: int = 0) ->
     return df.where(head < F.lit(int(fraction * (1 << 32))))
 
 
+def _blocked(docs: DataFrame, id_: str, tokens: Column) -> DataFrame:
+    """(id, words, block): rows that have words, in blocks of about DOC_BLOCK by a hash."""
+    rows = docs.select(F.col(id_).alias("id"), tokens.alias("words"), F.pmod(F.xxhash64(id_), F.lit(max(1, -(-docs.count() // DOC_BLOCK)))).alias("block"))
+    return materialize(rows).where(F.size("words") > 0)  # filtered once written, else the words are made twice
+
+
+def _met(blocked: DataFrame) -> DataFrame:
+    """(block, token, occurrences, first): the words of each block, first by id and place; one row a word and block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
+        words = t["words"].combine_chunks()
+        codes = words.flatten().dictionary_encode()
+        sizes, at = pc.list_value_length(words).to_numpy(zero_copy_only=False), codes.indices.to_numpy(zero_copy_only=False)
+        pos = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        first = np.full(len(codes.dictionary), np.iinfo(np.int64).max)
+        np.minimum.at(first, at, np.repeat(t["id"].to_numpy() * (1 << 32), sizes) + pos)
+        n = np.bincount(at, minlength=len(first))
+        yield pa.RecordBatch.from_arrays([pa.repeat(t["block"][0], len(first)), codes.dictionary, pa.array(n, pa.int64()), pa.array(first)], ["block", "token", "occurrences", "first"])
+
+    return materialize(blocked.groupBy("block").applyInArrow(run, "block long, token string, occurrences long, first long"))
+
+
+def _numbered(met: DataFrame) -> DataFrame:
+    counts = met.groupBy("token").agg(F.min("first").alias("first"))
+    return met.select("block", "token").join(dense_numbers(counts, ["first", "token"], "idx").select("token", "idx"), "token")
+
+
+def token_lists(docs: DataFrame, id_: str, tokens: Column) -> DataFrame:
+    """(id, indices): each row's tokens as numbers from 0 by first occurrence in the table, in order, by spaces; none for no tokens.
+
+    Only a block's distinct words are joined with the vocabulary; a block and its part of the vocabulary meet in a task.
+    """
+    blocked = _blocked(docs, id_, tokens)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        words = left["words"].combine_chunks()
+        numbers = right["idx"].combine_chunks().cast(pa.string()).take(pc.index_in(words.flatten(), value_set=right["token"].combine_chunks()))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(pc.list_value_length(words))]), pa.int32()), numbers)
+        return pa.table({"id": left["id"], "indices": pc.binary_join(lists, " ")})
+
+    return blocked.groupBy("block").cogroup(_numbered(_met(blocked)).groupBy("block")).applyInArrow(run, "id long, indices string")
+
+
 def embedded_tokens(docs: DataFrame, id_: str, tokens: Column, vectors: DataFrame) -> DataFrame:
     """(id, pos, token, idx, vec): the tokens of each row that ``vectors`` (word, vec) knows, in order, numbered from 0 by
-    first occurrence among the known ones; words without a vector are left out.
+    first occurrence among the known ones; words without a vector are left out. Blocks meet their words as in token_lists.
     """
-    words = docs.select(F.col(id_).alias("id"), F.posexplode(tokens).alias("pos", "token"))
-    known = materialize(words.join(vectors.select(F.col("word").alias("token"), "vec"), "token"))
-    numbers = vocabulary(known.withColumn("seq", F.col("id") * (1 << 32) + F.col("pos")), "token", "seq").select("token", "idx")
-    return known.join(numbers, "token").select("id", "pos", "token", "idx", "vec")
+    blocked = _blocked(docs, id_, tokens)
+    vectors = vectors.select(F.col("word").alias("token"), "vec")
+    met = materialize(_met(blocked).join(vectors, "token"))
+    known = _numbered(met).join(vectors, "token")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        words = left["words"].combine_chunks()
+        sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(words)), sizes)
+        pos = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        flat = words.flatten()
+        found = pc.index_in(flat, value_set=right["token"].combine_chunks())
+        has = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+        found = found.take(pa.array(has))
+        return pa.table({"id": left["id"].take(pa.array(row[has])), "pos": pa.array(pos[has], pa.int32()), "token": flat.take(pa.array(has)), "idx": right["idx"].take(found), "vec": right["vec"].take(found)})
+
+    kind = vectors.schema["vec"].dataType.simpleString()
+    return blocked.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, f"id long, pos int, token string, idx long, vec {kind}")
 
 
 def chunked(df: DataFrame, seq: str, size: int) -> DataFrame:

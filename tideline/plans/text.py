@@ -65,10 +65,7 @@ def vocabulary_index(docs: DataFrame) -> DataFrame:
 v as (select token, row_number() over (order by min(doc_id * 4294967296 + pos), token) - 1 as idx from t group by 1)
 select doc_id, string_agg(cast(idx as varchar), ' ' order by pos) as indices from t join v using (token) group by 1""")
 def token_indices(docs: DataFrame) -> DataFrame:
-    words = docs.select("doc_id", F.posexplode(T.preprocess(F.col("text"), stop_words=False)).alias("pos", "token"))
-    coded = words.join(E.vocabulary(words.withColumn("seq", F.col("doc_id") * (1 << 32) + F.col("pos")), "token", "seq"), "token")
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", "idx"))), lambda x: x["idx"].cast("string"))
-    return coded.groupBy("doc_id").agg(F.array_join(listed, " ").alias("indices"))
+    return E.token_lists(docs, "doc_id", T.preprocess(F.col("text"), stop_words=False)).withColumnRenamed("id", "doc_id")
 
 
 @query(f"""with t as (select doc_id, unnest({_TOKENS}) as token, unnest(range(0, len({_TOKENS}))) as pos from documents),
